@@ -7,6 +7,7 @@ from importlib import import_module
 from pkgutil import iter_modules
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maldure import plans
 
@@ -26,6 +27,11 @@ def query(sql: str | None = None):
     return register
 
 
+def rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    """Every double rounded: sums of doubles depend on their order, which no engine fixes."""
+    return df.select(*[F.round(F.col(f"`{f.name}`"), places).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def _load_all() -> None:
     for module in iter_modules(plans.__path__):
         if module.name.startswith("q_"):
