@@ -35,7 +35,7 @@ def as_characters(*tokens: Column) -> list[Column]:
 
 def rate(distance: Column, length: Column, other: Column) -> Column:
     """Distance over the reference's length; of an empty reference 0 if the prediction is empty too, else infinite."""
-    return F.when(length > 0, distance / length).when(other > 0, F.lit(INF)).otherwise(F.lit(0.0))
+    return F.when(distance.isNotNull(), F.when(length > 0, distance / length).when(other > 0, F.lit(INF)).otherwise(F.lit(0.0)))
 
 
 def wer(prediction: Column, reference: Column) -> Column:

@@ -93,9 +93,14 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``samples.jsonl`` below a folder, with the run's folder as ``run_dir``."""
-    rows = spark.read.schema(SAMPLE).option("recursiveFileLookup", True).option("pathGlobFilter", "samples.jsonl").json(folder)
-    return rows.withColumn("run_dir", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", ""))
+    """The samples of every run below a folder, with the run's folder as ``run_dir``.
+
+    A run's ``samples.jsonl`` is one file, or the folder of part files that this package writes.
+    """
+    reader = spark.read.schema(SAMPLE).option("recursiveFileLookup", True).option("pathGlobFilter", "{samples.jsonl,part-*}")
+    path = F.col("_metadata.file_path")
+    rows = reader.json(folder).where(path.rlike(r"/samples\.jsonl(/part-[^/]*)?$"))
+    return rows.withColumn("run_dir", F.regexp_replace(path, r"/samples\.jsonl(/.*)?$", ""))
 
 
 # The mock dataset's rows.

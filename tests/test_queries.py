@@ -1,0 +1,48 @@
+"""Every core query against its SQL on the smallest tables, where they are at hand."""
+
+import math
+import os
+from decimal import Decimal
+
+import pytest
+
+from maldure.plans.registry import QUERIES, SQL
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables aren't here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{name}'")
+    return con
+
+
+def value(x):
+    if isinstance(x, Decimal):
+        x = float(x)
+    if isinstance(x, float):
+        return "nan" if math.isnan(x) else round(x, 9)
+    return x
+
+
+def as_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(repr([value(r[i]) for i in order]) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, duck, name):
+    df = QUERIES[name](spark, FOLDER)
+    cursor = duck.execute(SQL[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(df.columns) == sorted(names)
+    assert as_rows(df.columns, df.collect()) == as_rows(names, cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() > 0
