@@ -5,7 +5,9 @@ clustered under a size function that depends on the quantile (the arcsine scale)
 and hold at most about ``pi/2/compression`` of the values in the middle. Digests of parts (partitions, days, files)
 are merged by clustering their clusters again. Since clusters keep their ends, a digest bounds every order statistic
 strictly; a second pass over the values counts what lies below that bracket and inside it, which certifies the rank
-error of the estimate and, with the few values inside the bracket, gives the exact percentile.
+error of the estimate and, with the few distinct values inside the bracket, gives the exact percentile. Equal values are
+counted together, however many there are; the values inside a bracket are a fixed small share of the distinct values, are
+ranked by a window, and are never gathered into one row.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERCENTS = (0.5, 0.9, 0.95, 0.99)
@@ -196,29 +199,21 @@ def percentiles_of_spread(rows: DataFrame, keys: Sequence[str], percents: Sequen
         same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         on = same if on is None else on & same
     on = on & (F.col("_part") == F.col("_kp"))
-    v, below = F.col("_v"), F.col("_v") < F.col("low")
-    inside = (v >= F.col("low")) & (v <= F.col("high"))
-    # the counting pass: per part, what lies below the bracket or the estimate; values inside it are kept with their counts
+    v = F.col("_v")
+    # the counting pass: what lies below, above, and on each value inside the bracket; equal values are one row
+    bucket = F.when(v < F.col("low"), F.lit(float("-inf"))).when(v > F.col("high"), F.lit(float("inf"))).otherwise(v)
+    same = [F.first(c).alias(c) for c in ("n", "estimate", "position", "part")]
     counted = (
         rows.join(right, on)
-        .groupBy(*keys, "_part", "q")
-        .agg(
-            F.first("n").alias("n"), F.first("estimate").alias("estimate"), F.first("position").alias("position"), F.first("part").alias("part"),
-            F.count_if(below).alias("below"), F.count_if(v < F.col("estimate")).alias("under"), F.count_if(v <= F.col("estimate")).alias("upto"),
-            F.sort_array(F.collect_list(F.when(inside, v))).alias("kept"),
-        )
-    )
-    grouped = counted.groupBy(*keys, "q").agg(
-        F.first("n").alias("n"), F.first("estimate").alias("estimate"), F.first("position").alias("position"), F.first("part").alias("part"),
-        F.sum("below").alias("below"), F.sum("under").alias("under"), F.sum("upto").alias("upto"),
-        F.array_sort(F.flatten(F.collect_list("kept"))).alias("kept"),
-    )
-    at = F.col("position") - F.col("below")
-    first = F.try_element_at("kept", (at + 1).cast("int"))
-    second = F.coalesce(F.try_element_at("kept", (at + 2).cast("int")), first)
+        .groupBy(*keys, "q", bucket.alias("_b"))
+        .agg(*same, F.count(F.lit(1)).alias("_c"), F.count_if(v < F.col("estimate")).alias("_under"), F.count_if(v <= F.col("estimate")).alias("_upto"))
+    )
+    counted = counted.withColumn("_cum", F.sum("_c").over(W.partitionBy(*keys, "q").orderBy("_b")))
+    at = lambda k: F.min(F.when(F.col("_cum") > F.col("position") + k, F.col("_b")))
+    inside = F.sum(F.when(F.abs("_b") < F.lit(float("inf")), F.col("_c")).otherwise(0))
+    grouped = counted.groupBy(*keys, "q").agg(*same, at(0).alias("_first"), at(1).alias("_second"), F.sum("_under").alias("_under"), F.sum("_upto").alias("_upto"), inside.alias("bracket_rows"))
+    first = F.col("_first")
+    second = F.when(F.col("part") > 0, F.col("_second")).otherwise(first)
     target = F.col("q") * (F.col("n") - 1)
-    error = F.greatest(F.lit(0.0), F.col("under") - target - 1, target - F.col("upto"))
-    return grouped.select(
-        *keys, "q", "n", "estimate", (first + F.col("part") * (second - first)).alias("exact"),
-        error.alias("rank_error"), F.size("kept").alias("bracket_rows"),
-    )
+    error = F.greatest(F.lit(0.0), F.col("_under") - target - 1, target - F.col("_upto"))
+    return grouped.select(*keys, "q", "n", "estimate", (first + F.col("part") * (second - first)).alias("exact"), error.alias("rank_error"), "bracket_rows")
