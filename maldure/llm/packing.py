@@ -8,7 +8,8 @@ however many items there are. The plan is made from that histogram alone:
    rounded up to their group's largest size;
 3. the configurations of these few sizes (how many of each go into one container) are optimised by column generation: a
    linear programme over configurations, priced by a knapsack; its solution is rounded down, the rest is placed best-fit;
-4. the actual items take the places of their group, in falling order, which leaves the room of each container exactly;
+4. the actual items take the places, the largest of at most their group's size first; a container's last place takes the
+   largest that fits, so what rounding up would waste is used; the room that each container has left is known exactly;
 5. small items go best-fit: each into the fullest container that still has room for it.
 
 Containers with the same contents are handled together as ranges, so the plan stays small. Every item then finds its
@@ -29,9 +30,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-GROUPS = 16
+GROUPS = 32
 #: Sizes of at most this share of the capacity are small.
-SMALL = 0.25
+SMALL = 0.3
 #: Into so many buckets the items of one size are spread to be numbered.
 BUCKETS = 64
 
@@ -101,6 +102,24 @@ class Plan:
         self.containers += containers
         return self.containers - containers
 
+    def fill(self, segments: list[tuple[int, int, int]], left: list[int], most: int) -> list[tuple[int, int, int]]:
+        """One more item into each container of the segments (first, end, room): the largest left of at most ``most`` that fits."""
+        out = []
+        for a, b, room in segments:
+            while a < b:
+                size = min(room, most)
+                while size and not left[size]:
+                    size -= 1
+                if not size:
+                    out.append((a, b, room))
+                    break
+                n = min(b - a, left[size])
+                self.take(size, a, n)
+                left[size] -= n
+                out.append((a, a + n, room - size))
+                a += n
+        return out
+
     def best_fit(self, size: int, count: int) -> None:
         """Place ``count`` items of one size, each into the fullest container with room for it; new ones where there is none."""
         while count > 0:
@@ -145,51 +164,39 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
         # groups of equal cardinality; a size may fall into two of them
         bounds = sorted({round(total * k / groups) for k in range(groups + 1)})
         members: list[list[list[int]]] = []
-        at, left = 0, [[s, histogram[s]] for s in large]
+        at, rest = 0, [[s, histogram[s]] for s in large]
         for low, high in zip(bounds, bounds[1:]):
             need, own = high - low, []
             while need:
-                n = min(need, left[at][1])
-                own.append([left[at][0], n])
-                left[at][1] -= n
+                n = min(need, rest[at][1])
+                own.append([rest[at][0], n])
+                rest[at][1] -= n
                 need -= n
-                at += not left[at][1]
+                at += not rest[at][1]
             if members and members[-1][0][0] == own[0][0]:
                 members[-1] += own
             else:
                 members.append(own)
-        sizes = [m[0][0] for m in members]
-        for pattern, use in optimise(sizes, [sum(n for _, n in m) for m in members], capacity):
-            containers = int(use + 1e-9)
-            if not containers or not any(pattern):
+        tops = [m[0][0] for m in members]
+        left = [0] * (capacity + 1)
+        for s in large:
+            left[s] = histogram[s]
+        for pattern, use in optimise(tops, [sum(n for _, n in m) for m in members], capacity):
+            places = [top for top, times in zip(tops, pattern) for _ in range(times)]
+            containers = min(int(use + 1e-9), sum(left[: places[0] + 1])) if places else 0
+            if not containers:
                 continue
             first = plan.open(containers)
-            segments = [[first, first + containers, capacity]]
-            for group, times in enumerate(pattern):
-                for _ in range(times):
-                    position, i = first, 0  # one place in each container, filled in falling order
-                    while position < first + containers and members[group]:
-                        own = members[group][0]
-                        n = min(own[1], first + containers - position)
-                        plan.take(own[0], position, n)
-                        own[1] -= n
-                        if not own[1]:
-                            members[group].pop(0)
-                        while i < len(segments) and segments[i][0] < position + n:
-                            if segments[i][1] > position + n:
-                                segments.insert(i + 1, [position + n, segments[i][1], segments[i][2]])
-                                segments[i][1] = position + n
-                            segments[i][2] -= own[0]
-                            i += 1
-                        position += n
+            segments = [(first, first + containers, capacity)]
+            # a place takes the largest item of at most its group's size, the last one the largest that fits; so does what room is left
+            for top in [*places[:-1], capacity]:
+                segments = plan.fill(segments, left, top)
+            while (more := plan.fill(segments, left, capacity)) != segments:
+                segments = more
             for a, b, room in segments:
                 plan.leave(room, a, b)
-        rest: dict[int, int] = defaultdict(int)
-        for m in members:
-            for s, n in m:
-                rest[s] += n
-        for s in sorted(rest, reverse=True):
-            plan.best_fit(s, rest[s])
+        for s in large:
+            plan.best_fit(s, left[s])
     for s in sorted((s for s, n in histogram.items() if 0 < s <= small * capacity and n > 0), reverse=True):
         plan.best_fit(s, histogram[s])
     if n := histogram.get(0, 0):
