@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maldure.functions.metrics import finite
@@ -41,19 +42,34 @@ def micro_columns(source: str = "metrics", prefix: str = "micro_") -> list[Colum
     return [*out, F.try_divide(total("ser_error_sentences"), total("ser_total_sentences")).alias(prefix + "ser")]
 
 
-def percentile_column(time: str = "processing_time") -> Column:
-    """Exact percentiles of the valid samples' finite times, with linear interpolation."""
-    return F.percentile(F.when(valid(), finite(F.col(time))), F.array(*[F.lit(p) for p in PERCENTS]))
+def exact_percentiles(samples: DataFrame, keys: Sequence[str], time: str = "processing_time", percents: Sequence[float] = PERCENTS) -> DataFrame:
+    """Exact percentiles of the valid samples' finite times, with linear interpolation. Columns: keys, p50, p90, ...
 
-
-def percentile_fields(array: Column) -> list[Column]:
-    return [F.try_element_at(array, F.lit(i + 1)).alias(f"p{int(100 * p)}") for i, p in enumerate(PERCENTS)]
+    Equal values are counted first, by a partial aggregate; the counts are then added up in order by a window, which spills
+    where a hash of all values of a hot group would not. Groups without a finite time have no row.
+    """
+    value = finite(F.col(time))
+    counts = samples.where(valid() & value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    own = W.partitionBy(*keys)
+    summed = counts.withColumn("_cum", F.sum("_c").over(own.orderBy("_v"))).withColumn("_n", F.sum("_c").over(own))
+    fields = []
+    for p in percents:
+        low = F.floor(F.lit(p) * (F.col("_n") - 1))
+        first, second = (F.min(F.when(F.col("_cum") > low + k, F.col("_v"))) for k in (0, 1))
+        part = F.first(F.lit(p) * (F.col("_n") - 1) - low)
+        fields.append((first + F.when(part > 0, part * (second - first)).otherwise(0)).alias(f"p{int(100 * p)}"))
+    return summed.groupBy(*keys).agg(*fields)
 
 
 def aggregate_samples(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts, macro and micro averages and percentiles of each group, in one pass."""
-    own = samples.groupBy(*keys).agg(*count_columns(), *macro_columns(), *micro_columns(), percentile_column().alias("_p"))
-    return own.select("*", *percentile_fields(F.col("_p"))).drop("_p")
+    """Counts, macro and micro averages and percentiles of each group; null keys form a group."""
+    own = samples.groupBy(*keys).agg(*count_columns(), *macro_columns(), *micro_columns())
+    times = exact_percentiles(samples, keys)
+    same, right = None, times.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in times.columns if c not in keys])
+    for i, k in enumerate(keys):
+        equal = own[k].eqNullSafe(right[f"_k{i}"])
+        same = equal if same is None else same & equal
+    return own.join(right, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def eligible_runs(rows: DataFrame, dataset: str, subsets: Sequence[str] = DOMAINS) -> DataFrame:

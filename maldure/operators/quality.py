@@ -19,7 +19,7 @@ SECRETS = {
     "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}",
     "assigned": r"(?i)(?:api[_-]?key|secret|password|token)\s*=\s*['\"][^'\"]{8,}['\"]",
 }
-LOCAL_PATHS = {"windows_home": r"(?i)C:\\Users\\", "mount": r"(?i)/mnt/[a-z]/", "ide_projects": r"(?i)Pycharm" + "Projects"}
+LOCAL_PATHS = {"windows_home": r"(?i)C:\\Users\\", "mount": r"(?i)/mnt/[a-z]/", "ide_projects": r"(?i)PycharmProjects"}
 
 
 def problems(rules: dict[str, Column]) -> Column:

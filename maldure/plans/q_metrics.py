@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maldure.functions import metrics as M
 from maldure.operators import aggregate as A
+from maldure.operators.leaderboard import ranked
 from maldure.plans.registry import query, rounded
 from maldure.tables import load
 
@@ -165,15 +166,14 @@ def micro_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_samples(spark, sf_dir).groupBy("run_id").agg(*A.micro_columns()))
 
 
-@query(f"SELECT run_id, {_PCT} FROM sample_results GROUP BY run_id")
+@query(f"SELECT * FROM (SELECT run_id, {_PCT} FROM sample_results GROUP BY run_id) WHERE p50 IS NOT NULL")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _samples(spark, sf_dir).groupBy("run_id").agg(A.percentile_column().alias("p"))
-    return rounded(own.select("run_id", *A.percentile_fields(F.col("p"))))
+    return rounded(A.exact_percentiles(_samples(spark, sf_dir), ["run_id"]))
 
 
 @query(f"SELECT run_id, {_COUNTS}, {_MACRO}, {_MICRO}, {_PCT} FROM sample_results GROUP BY run_id")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: everything about each run, in one pass over its samples."""
+    """The flagship: everything about each run."""
     return rounded(A.aggregate_samples(_samples(spark, sf_dir), ["run_id"]))
 
 
@@ -182,10 +182,9 @@ SELECT row_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY sample_index
 """)
 def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running position of each row in its run."""
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("run_id").orderBy(F.asc_nulls_last("sample_index"), "row_id")) - 1
-    return load(spark, sf_dir, "sample_results").select("row_id", place.alias("position"))
+    rows = load(spark, sf_dir, "sample_results").select("row_id", "run_id", "sample_index")
+    order = [F.asc_nulls_last("sample_index"), F.col("row_id").asc()]
+    return ranked(rows, order, "place", ["run_id"]).select("row_id", (F.col("place") - 1).cast("int").alias("position"))
 
 
 @query("SELECT s.row_id, s.run_id FROM sample_results s JOIN runs r USING (run_id) WHERE r.limit_samples IS NULL OR s.sample_index < r.limit_samples")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maldure.operators import inference as I
 from maldure.operators import jobs as J
 from maldure.operators.aggregate import aggregate_samples
 from maldure.operators.error_analysis import error_blocks
+from maldure.operators.leaderboard import ranked
 from maldure.plans import q_metrics as M
 from maldure.plans.registry import query, rounded
 from maldure.sources import audio, files, sinks
@@ -164,8 +164,9 @@ def pair_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label_id, label_zip, audio_zip, CAST(row_number() OVER (PARTITION BY domain_id, substr(label_name, 1, 7) ORDER BY label_name, label_id) - 1 AS INT) AS place FROM telephone_labels")
 def zip_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's place among the labels of its archive's folder, by name."""
-    place = F.row_number().over(W.partitionBy("domain_id", F.substring("label_name", 1, 7)).orderBy("label_name", "label_id")) - 1
-    return load(spark, sf_dir, "telephone_labels").select("label_id", "label_zip", "audio_zip", place.alias("place"))
+    rows = load(spark, sf_dir, "telephone_labels").select("label_id", "label_zip", "audio_zip", "label_name", "domain_id", F.substring("label_name", 1, 7).alias("folder"))
+    placed = ranked(rows, [F.col("label_name").asc(), F.col("label_id").asc()], "place", ["domain_id", "folder"])
+    return placed.select("label_id", "label_zip", "audio_zip", (F.col("place") - 1).cast("int").alias("place"))
 
 
 @query("SELECT run_id, unnest(CASE WHEN lower(coalesce(dataset_subset, 'all')) IN ('all', 'validation', 'valid') THEN ['D01', 'D02', 'D03', 'D04'] ELSE [upper(dataset_subset)] END) AS domain FROM runs WHERE dataset_name = 'AIHubLowQualityTelephone'")
