@@ -33,14 +33,20 @@ ENDINGS = 0.0003
 PHRASE = 0.9
 
 COMPLETE, OPEN_QUESTION, CUT = 0, 1, 2
-_STOP = re.compile(r"[.?!。？！][\"'”’」』)\]]*$")
-_SENTENCE = re.compile(r"([^\s.?!。？！]+)[.?!](?=\s|$)")
+#: A word before a full stop; it is only tried where a word begins, so long runs cost no more than their length.
+_SENTENCE = re.compile(r"(?<![^\s.?!。？！])([^\s.?!。？！]++)[.?!](?=\s|$)")
 _SPEAKER = re.compile(r"^[^\s:：]{1,8} ?[:：] ?")
-_MARK = re.compile(r"(?i)(\.{2,}|…+|⋯+|[\[(<](?:truncated|cut(?: off)?|more|snip|잘림|생략|이하 생략|중략)[\])>]|-+ ?more ?-+)$")
+_MARK = re.compile(r"(?i)([\[(<](?:truncated|cut(?: off)?|more|snip|잘림|생략|이하 생략|중략)[\])>]|-+ ?more ?-+)$")
+_DOTS = ".…⋯"
 _NUMBER = re.compile(r"(?<![\d.])\d+\.$")
 _PAIRS = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "”": "“", "’": "‘"}
 
 
+def stops(text: str) -> bool:
+    """Whether a text ends with a full stop, perhaps inside of quotes or brackets."""
+    return text.rstrip("\"'”’」』)]")[-1:] in tuple(".?!。？！")
+
+
 def line_form(line: str) -> str:
     """A line without its speaker, with digits and whole numbers alike and single spaces."""
     line = re.sub(r"[^\w\s!-/:-@\[-`{-~]", "", line)
@@ -70,6 +76,11 @@ def _closed(text: str) -> bool:
     return not inside and not open_ones and text[-1] in "}]"
 
 
+def _unusual(word: str) -> bool:
+    """Whether a string between spaces is no Korean or English word."""
+    return bool(word) and (len(word) >= 20 or not re.search("[가-힣A-Za-z]", word))
+
+
 class Endings:
     """What completes texts in a corpus."""
 
@@ -88,7 +99,15 @@ class Endings:
         word, first = last_words(line)
         if word not in self.bare:
             return False
-        return self.bare[word] is None or first in self.bare[word]
+        return self.bare[word] is None or first in self.bare[word] or _unusual(first)
+
+    def closes(self, line: str) -> bool:
+        """Whether a line is a closing one, or ends with one after a string that is no word."""
+        form = line_form(line)
+        if form in self.closers:
+            return True
+        words = form.split(" ")
+        return any(_unusual(words[i - 1]) and " ".join(words[i:]) in self.closers for i in range(max(1, len(words) - 4), len(words)))
 
     def grade(self, text: str) -> int:
         """COMPLETE, OPEN_QUESTION or CUT; a blank text is complete."""
@@ -106,7 +125,7 @@ class Endings:
         if text.count("```") % 2:
             return CUT
         line = text.rsplit("\n", 1)[-1]
-        if line_form(line) in self.closers or text.endswith("```"):
+        if self.closes(line) or text.endswith("```"):
             return COMPLETE
         open_ones: list[str] = []
         for c in line:
@@ -116,13 +135,13 @@ class Endings:
                 open_ones.pop()
         if open_ones:
             return CUT
-        if mark := _MARK.search(text):
-            if not mark[0].startswith((".", "…", "⋯")):
-                return CUT
-            words = text[: mark.start()].split()
-            word = words[-1] if words else ""
-            return COMPLETE if word in self.sentences or self.ends_line(line[: -len(mark[0])]) else CUT
-        if _STOP.search(text):
+        if _MARK.search(text[-24:]):  # the marks are shorter
+            return CUT
+        bare = text.rstrip(_DOTS)
+        if len(text) - len(bare) > 1 or text[-1] in "…⋯":
+            words = bare.split()
+            return COMPLETE if words and words[-1] in self.sentences or self.ends_line(line.rstrip(_DOTS)) else CUT
+        if stops(text):
             return CUT if _NUMBER.search(text) else COMPLETE
         if self.ends_line(line):
             return OPEN_QUESTION
@@ -150,7 +169,7 @@ def _counts(texts: DataFrame) -> DataFrame:
                 found.update(("sentence", w) for w in _SENTENCE.findall(text))
                 for line in text.rstrip().split("\n")[:-1]:
                     line = line.rstrip()
-                    if line and not _STOP.search(line):
+                    if line and not stops(line):
                         word, before = last_words(line)
                         if word:
                             found["bare", word] += 1
