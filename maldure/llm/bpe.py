@@ -33,7 +33,12 @@ class TrieEncoder:
     def __init__(self, vocabulary: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.lengths = sorted({len(x) for x in self.ranks}, reverse=True)
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], {1}).add(len(token))
+        #: By the last two bytes, the lengths of the tokens that end so, the longest first.
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in lengths.items()}
         self.fit: dict[tuple[int, int], bool] = {}
         self.ids: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN)
@@ -57,7 +62,7 @@ class TrieEncoder:
 
     def walk(self, words: list[str]) -> None:
         """Remember the ids of the words, which are distinct and new."""
-        ranks, fits, longest = self.ranks, self.fits, self.lengths[0]
+        ranks, fits, lengths, one = self.ranks, self.fits, self.lengths, (1,)
         before, last, size = b"", [-1], [0]
         for path, word in sorted((w.encode("utf-8", "replace"), w) for w in words):
             shared, most = 0, min(len(before), len(path))
@@ -68,7 +73,9 @@ class TrieEncoder:
                     shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for end in range(shared + 1, len(path) + 1):
-                for n in range(min(longest, end), 0, -1):
+                for n in lengths.get(path[end - 2 : end], one) if end > 1 else one:
+                    if n > end:
+                        continue
                     token = ranks.get(path[end - n : end])
                     if token is not None and (n == end or fits(last[end - n], token)):
                         last.append(token)
