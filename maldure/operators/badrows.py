@@ -85,13 +85,17 @@ def json_record(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(clean, columns=RECORD.names)
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once: Catalyst would otherwise write their expressions into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_filled(values: list[Column]) -> Column:
     """The first value that isn't blank."""
     return F.coalesce(*[F.when(~v.rlike(_BLANK), v) for v in values])
 
 
-def _csv_record(fields: Column, header: Column) -> Column:
-    got = F.map_from_arrays(header, fields)
+def _csv_record(got: Column) -> Column:
     names = {"audio_path": AUDIO_NAMES, "text": TEXT_NAMES, "id": ("id",), "speaker": ("speaker",), "sample_rate": ("sample_rate",), "duration": ("duration",)}
     value = {f: first_filled([F.try_element_at(got, F.lit(n)) for n in own]) for f, own in names.items()}
     value["text"] = F.coalesce(value["text"], *[F.try_element_at(got, F.lit(n)) for n in TEXT_NAMES])
@@ -110,12 +114,14 @@ def classify_records(lines: DataFrame, files: DataFrame) -> DataFrame:
     raw = lines.select("line_id", "file_name", without_return(F.col("raw_line")).alias("raw_record")).where(~F.col("raw_record").rlike(_BLANK))
     raw = raw.join(own, "file_name", "left")
     is_csv = F.coalesce(F.col("fmt") == "csv", F.col("file_name").endswith(".csv"), F.lit(False))
-    csv = raw.where(is_csv).withColumn("well", csv_well_formed(F.col("raw_record"))).withColumn("fields", F.when(F.col("well"), csv_fields(F.col("raw_record"))))
+    csv = held(raw.where(is_csv), well=csv_well_formed(F.col("raw_record")))
+    csv = held(csv, fields=F.when(F.col("well"), csv_fields(F.col("raw_record"))))
     counts = ~F.coalesce(F.size("fields") == F.col("n_columns"), F.lit(True))
     width = F.size("fields") == F.size("header_columns")
-    csv = csv.withColumn("record", F.when(F.col("well") & ~counts & width, _csv_record(F.col("fields"), F.col("header_columns"))))
+    csv = held(csv, named=F.when(F.col("well") & ~counts & width, F.map_from_arrays("header_columns", "fields")))
+    csv = held(csv, record=F.when(F.col("named").isNotNull(), _csv_record(F.col("named"))))
     csv = csv.withColumn("broken", F.when(~F.col("well"), "broken_syntax").when(counts, "column_count"))
-    jsonl = raw.where(~is_csv).withColumn("record", json_record("raw_record"))
+    jsonl = held(raw.where(~is_csv).withColumn("_r", json_record("raw_record")), record=F.col("_r")).drop("_r")
     jsonl = jsonl.withColumn("broken", F.when(~F.col("record.ok"), "broken_syntax"))
     keep = ["line_id", "file_name", "raw_record", "default_sample_rate", "record", "broken"]
     rows = csv.select(*keep).unionByName(jsonl.select(*keep))
@@ -126,8 +132,8 @@ def classify_records(lines: DataFrame, files: DataFrame) -> DataFrame:
     good_length = trim(length).rlike(r"\A[0-9]++(\.[0-9]++)?\z")
     invalid = F.col("record").isNull() | F.col("record.odd_type") | blank(path) | ~path.rlike(AUDIO_SUFFIXES) | (~blank(rate) & ~good_rate) | (~blank(length) & ~good_length)
     reason = F.coalesce("broken", F.when(invalid, "invalid_value"))
-    typed = F.when(reason.isNull(), F.col("record"))
-    return rows.withColumn("reason", reason).withColumn("record", typed).select(
+    rows = held(rows, reason=reason)
+    return rows.withColumn("record", F.when(F.col("reason").isNull(), F.col("record"))).select(
         "line_id", "file_name", "raw_record", "reason", "record.audio_path", "record.text",
         F.when(~blank(F.col("record.id")), F.col("record.id")).alias("id"), F.when(~blank(F.col("record.speaker")), F.col("record.speaker")).alias("speaker"),
         F.coalesce(trim(F.col("record.sample_rate")).try_cast("int"), F.when(F.col("reason").isNull(), F.col("default_sample_rate"))).alias("sample_rate"),
