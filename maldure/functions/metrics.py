@@ -1,6 +1,6 @@
 """Error rates, edit operations and performance figures.
 
-Rates are native: tokens become single characters, so that Spark's own ``levenshtein`` counts tokens. Counts of the four edit
+Tokens become single characters (in Arrow batches), so that Spark's own ``levenshtein`` counts tokens. Counts of the four edit
 operations need the table's path; they come from one Arrow-batched function that fills the tables of many rows at once.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maldure.functions.text import jamo, words
+from maldure.functions.text import jamo
 
 INF = float("inf")
 #: Rows whose tables are filled together, and the most cells of a table that are held for all of them.
@@ -26,11 +26,27 @@ def finite(value: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(INF)), value)
 
 
-def as_characters(*tokens: Column) -> list[Column]:
-    """Token arrays as strings with one character per distinct token of the row."""
-    known = F.array_distinct(F.concat(*tokens))
-    one = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + 19967), 4, "0")), "UTF-16BE")
-    return [F.array_join(F.transform(t, one), "") for t in tokens]
+PAIR = T.StructType([T.StructField("p", T.StringType()), T.StructField("r", T.StringType())])
+
+
+def coded(prediction: Column, reference: Column, tokenizer: Callable[[str], Sequence[str]]) -> Column:
+    """Both texts with one character for each distinct token of the row, in Arrow batches; null texts stay null."""
+
+    @F.pandas_udf(PAIR)
+    def code(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(prediction, reference):
+            codes: dict[str, str] = {}
+            one = lambda t: codes.setdefault(t, chr(0x20000 + len(codes)))  # noqa: B023, E731
+            rows.append([None if x is None else "".join(one(t) for t in tokenizer(x)) for x in (a, b)])
+        return pd.DataFrame(rows, columns=["p", "r"])
+
+    return code(prediction, reference)
+
+
+def coded_words(prediction: Column, reference: Column) -> Column:
+    """``coded`` for words between white space."""
+    return coded(prediction, reference, str.split)
 
 
 def rate(distance: Column, length: Column, other: Column) -> Column:
@@ -38,11 +54,6 @@ def rate(distance: Column, length: Column, other: Column) -> Column:
     return F.when(distance.isNotNull(), F.when(length > 0, distance / length).when(other > 0, F.lit(INF)).otherwise(F.lit(0.0)))
 
 
-def wer(prediction: Column, reference: Column) -> Column:
-    p, r = as_characters(words(prediction), words(reference))
-    return rate(F.levenshtein(p, r), F.length(r), F.length(p))
-
-
 def cer(prediction: Column, reference: Column) -> Column:
     return rate(F.levenshtein(prediction, reference), F.length(reference), F.length(prediction))
 
@@ -55,16 +66,12 @@ def jer(prediction: Column, reference: Column) -> Column:
 def mer(prediction: Column, reference: Column, tokenizer: Callable[[str], Sequence[str]]) -> Column:
     """Morpheme error rate with the given tokenizer (text to tokens), which is not part of this package."""
 
-    @F.pandas_udf(T.StructType([T.StructField("p", T.StringType()), T.StructField("r", T.StringType())]))
-    def coded(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(prediction, reference):
-            codes: dict[str, str] = {}
-            one = lambda t: codes.setdefault(t, chr(0x20000 + len(codes)))  # noqa: B023, E731
-            rows.append([None if x is None else "".join(one(t) for t in tokenizer(x)) for x in (a, b)])
-        return pd.DataFrame(rows, columns=["p", "r"])
+    both = coded(prediction, reference, tokenizer)
+    return rate(F.levenshtein(both.p, both.r), F.length(both.r), F.length(both.p))
+
 
-    both = coded(prediction, reference)
+def wer(prediction: Column, reference: Column) -> Column:
+    both = coded_words(prediction, reference)
     return rate(F.levenshtein(both.p, both.r), F.length(both.r), F.length(both.p))
 
 
@@ -152,9 +159,10 @@ def counts(name: str, prediction: Column, reference: Column) -> Column:
     the other way round than those of the others, and its hits are counted in the prediction.
     """
     if name == "wer":
-        u, v = words(reference), words(prediction)
-        ops = edit_ops(*as_characters(u, v))
-        return F.struct((F.size(v) - ops.substitutions - ops.insertions).alias("hits"), ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"))
+        both = coded_words(prediction, reference)
+        u, v = both.r, both.p
+        ops = edit_ops(u, v)
+        return F.struct((F.length(v) - ops.substitutions - ops.insertions).alias("hits"), ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"))
     u, v = (prediction, reference) if name == "cer" else (jamo(prediction), jamo(reference))
     ops = edit_ops(u, v)
     return F.struct((F.length(v) - ops.substitutions - ops.insertions).alias("hits"), ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"))
