@@ -86,35 +86,30 @@ def edit_table(u: np.ndarray, v: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     a deletion from u, and that to an insertion.
     """
     rows, width = u.shape[0], v.shape[1]
+    deletion, insertion = 1 << 20, 1 << 40  # the three counts of a cell are one number
     out = np.zeros((rows, 4), dtype="int32")
-    ramp = np.arange(width + 1, dtype="int32")
-    state = np.zeros((4, width + 1, rows), dtype="int32")  # cost, substitutions, deletions, insertions
-    state[0] = state[3] = ramp[:, None]
     every = np.arange(rows)
-    done = n == 0
-    out[done] = state[:, m[done], every[done]].T
+    cost = np.repeat(np.arange(width + 1, dtype="int32")[:, None], rows, axis=1)
+    path = cost.astype("int64") * insertion
+
+    def take(done):
+        held = path[m[done], every[done]]
+        out[done] = np.stack([cost[m[done], every[done]], held % deletion, held // deletion % deletion, held // insertion], axis=1)
+
+    take(n == 0)
     for x in range(1, u.shape[1] + 1):
-        new = np.empty_like(state)
-        new[:, 0] = 0
-        new[0, 0] = new[2, 0] = x
-        differ = (u[:, x - 1][:, None] != v).T.astype("int32")
-        sub, dele = state[0, :-1] + differ, state[0, 1:] + 1
+        differ = u[:, x - 1][None, :] != v.T
+        sub, dele = cost[:-1] + differ, cost[1:] + 1
         diagonal = sub <= dele
-        base = np.where(diagonal, sub, dele)
+        base, base_path = np.where(diagonal, sub, dele), np.where(diagonal, path[:-1] + differ, path[1:] + deletion)
+        cost, path = np.empty_like(cost), np.empty_like(path)
+        cost[0], path[0] = x, x * deletion
         for y in range(1, width + 1):
-            ins = new[0, y - 1] + 1
+            ins = cost[y - 1] + 1
             keep = base[y - 1] <= ins
-            new[0, y] = np.where(keep, base[y - 1], ins)
-            from_sub, from_del = keep & diagonal[y - 1], keep & ~diagonal[y - 1]
-            for k in (1, 2, 3):
-                new[k, y] = np.where(from_sub, state[k, y - 1], np.where(from_del, state[k, y], new[k, y - 1]))
-            new[1, y] += from_sub * differ[y - 1]
-            new[2, y] += from_del
-            new[3, y] += ~keep
-        state = new
-        done = n == x
-        if done.any():
-            out[done] = state[:, m[done], every[done]].T
+            cost[y] = np.where(keep, base[y - 1], ins)
+            path[y] = np.where(keep, base_path[y - 1], path[y - 1] + insertion)
+        take(n == x)
     return out
 
 
