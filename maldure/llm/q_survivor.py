@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maldure.llm.queries import SQL, query
-from maldure.llm.survivor import PLACEHOLDERS, best_representatives, spelled
+from maldure.llm.survivor import PLACEHOLDERS, best_representatives, leaves, nested, spelled
 from maldure.tables import load
 
 FIELDS = ("run_id", "model_repo", "gpu", "torch", "cuda", "command", "source")
 
 
-def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "leaderboard_rows")
+def _slices(rows: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """The groups of two rows or more; others: what is to be carried besides FIELDS, by its paths."""
     path = F.translate("artifact", "\\", "/")
     keyed = rows.select(
-        "entry_id", *FIELDS,
+        "entry_id", *FIELDS, *dict.fromkeys(f.split(".")[0] for f in others),
         spelled(F.element_at(F.split(F.trim("model"), "/"), -1)).alias("_model"), spelled(F.col("dataset")).alias("_dataset"),
         F.coalesce(spelled(F.regexp_replace(F.trim("subset"), r"(?i)^(domain|eval)[_\- ]+", "")), F.lit("default")).alias("_subset"),
         (path.endswith("/leaderboard_row.json") | path.startswith("results/")).alias("_generated"),
     )
-    return best_representatives(keyed, ["_model", "_dataset", "_subset"], "entry_id", F.col("_generated"), F.col("run_id"), FIELDS).where("rows > 1")
+    return best_representatives(keyed, ["_model", "_dataset", "_subset"], "entry_id", F.col("_generated"), F.col("run_id"), FIELDS, others).where("rows > 1")
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each group and field, whose value survives; see TESTDATA.md."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`.donor").alias("donor_id")) for f in FIELDS])).alias("d")
-    return _slices(spark, sf_dir).select(F.col("survivor").alias("survivor_id"), each).select("survivor_id", "d.field_name", "d.donor_id").where("donor_id IS NOT NULL")
+    return _slices(load(spark, sf_dir, "leaderboard_rows")).select(F.col("survivor").alias("survivor_id"), each).select("survivor_id", "d.field_name", "d.donor_id").where("donor_id IS NOT NULL")
 
 
 @query
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving row of each group of two or more, every field with its best value."""
-    return _slices(spark, sf_dir).select(F.col("_model").alias("model"), F.col("_dataset").alias("dataset"), F.col("_subset").alias("subset"), "rows", "survivor", "skyline", *[F.col(f"`{f}`.value").alias(f) for f in FIELDS])
+    """The surviving row of each group of two or more: every column of leaderboard_rows, every field with its best value."""
+    return survivors(load(spark, sf_dir, "leaderboard_rows"))
+
+
+def survivors(rows: DataFrame) -> DataFrame:
+    """One row per group. Columns: those of ``rows`` (entry_id is the first row's), rows, survivor, skyline, filled_from.
+
+    Each field inside of a struct is filled on its own; filled_from has the entry_id of each field's donor, by its path,
+    where that isn't the survivor. model, dataset and subset come as the best row spells them; a subset that no row
+    has is the default one.
+    """
+    held = rows.drop("entry_id")
+    paths = [p for p, _ in leaves(held.schema)]
+    kept = _slices(rows, [p for p in paths if p not in FIELDS])
+    donors = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"`{p}`.donor").alias("donor")) for p in paths])
+    lent = F.map_from_entries(F.filter(donors, lambda x: x["donor"] != F.col("survivor")))
+    record = nested(held.schema, lambda p: F.coalesce(F.col(f"`{p}`.value"), F.lit("default")) if p == "subset" else F.col(f"`{p}`.value"))
+    return kept.select(F.col("survivor").alias("entry_id"), *record, "rows", "survivor", "skyline", lent.alias("filled_from"))
 
 
 _MISSING = ", ".join(f"'{x}'" for x in PLACEHOLDERS)

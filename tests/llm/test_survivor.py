@@ -59,3 +59,30 @@ def test_names(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", real(F.col("v")).alias("r"), spelled(F.col("v")).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in rows] == ["qwen3asr", "qwen3asr", None, None, None, None, "가나", "x" * 5000]
     assert rows[0]["r"] == "  Qwen3_Asr " and rows[2]["r"] is None
+
+
+def test_further_fields_of_any_type(spark):
+    """Whole records: more fields than a mask holds, structs filled field by field, names as they are stored."""
+    from maldure.llm.q_survivor import survivors
+
+    kind = (
+        "entry_id long, run_id string, model string, model_repo string, dataset string, subset string, gpu string, torch string, cuda string, metrics struct<macro: struct<wer: double, mer: double>, micro: struct<wer: double>>, "
+        "total_samples long, is_full_evaluation boolean, command string, source string, artifact string, collected_at timestamp, tags map<string, string>"
+    )
+    none = dict.fromkeys(x.split()[0] for x in ("gpu", "torch", "cuda", "command", "source", "total_samples", "is_full_evaluation", "collected_at", "tags", "model_repo"))
+    rows = [
+        none | {"entry_id": 1, "run_id": "1", "model": "a/Conf_0.4b", "dataset": "D-1", "subset": None, "metrics": {"macro": {"wer": 0.1, "mer": 0.3}, "micro": {"wer": 0.2}}, "artifact": "x/leaderboard_row.json", "tags": {"a": "b"}, "total_samples": 0},
+        none | {"entry_id": 2, "run_id": "2", "model": "conf 0 4B", "dataset": "d1", "subset": " n/a", "metrics": {"macro": {"wer": 0.9, "mer": float("nan")}, "micro": None}, "artifact": "results/y", "is_full_evaluation": False, "gpu": "-"},
+        none | {"entry_id": 3, "run_id": "9", "model": "conf04b", "dataset": "d1", "subset": "default", "metrics": None, "artifact": None, "is_full_evaluation": True, "gpu": "G", "total_samples": 7},
+        none | {"entry_id": 4, "run_id": "9", "model": "alone", "dataset": "d1", "subset": "x", "metrics": None, "artifact": None},
+        *[none | {"entry_id": i, "run_id": "1", "model": "bare", "dataset": "d1", "subset": None, "metrics": None, "artifact": None} for i in (5, 6)],
+    ]
+    names = [x.name for x in spark.createDataFrame([], kind).schema]
+    got = {r["entry_id"]: r.asDict(recursive=True) for r in survivors(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kind)).collect()}
+    assert set(got) == {2, 5} and set(names) <= set(got[2])
+    best = got[2]
+    assert (best["model"], best["dataset"], best["subset"], best["artifact"], best["rows"]) == ("conf 0 4B", "d1", "default", "results/y", 3)
+    assert best["metrics"] == {"macro": {"wer": 0.9, "mer": 0.3}, "micro": {"wer": 0.2}}
+    assert (best["total_samples"], best["is_full_evaluation"], best["gpu"], best["tags"]) == (0, False, "G", {"a": "b"})
+    assert best["filled_from"] == {"subset": 3, "metrics.macro.mer": 1, "metrics.micro.wer": 1, "gpu": 3, "tags": 1, "total_samples": 1}
+    assert got[5]["metrics"] is None and got[5]["subset"] == "default" and got[5]["filled_from"] == {}
