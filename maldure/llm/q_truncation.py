@@ -20,4 +20,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates: documents with text, truncated ones, their share, and those at a significant length."""
     judged = judge_truncation(load(spark, sf_dir, "documents"), "doc_id", "text", "source").where("chars > 0")
-    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share"), F.count_if("truncated AND significant").alias("at_a_limit"))
+    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share"), F.count_if(F.col("truncated") & F.col("significant")).alias("at_a_limit"))

@@ -33,6 +33,8 @@ ENDINGS = 0.0003
 PHRASE = 0.9
 
 COMPLETE, OPEN_QUESTION, CUT = 0, 1, 2
+#: How a JSON value begins, other than prose with a bracket in front.
+_JSON = re.compile(r'\s*[\[{]\s*["{\[\]}]')
 #: A word before a full stop; it is only tried where a word begins, so long runs cost no more than their length.
 _SENTENCE = re.compile(r"(?<![^\s.?!。？！])([^\s.?!。？！]++)[.?!](?=\s|$)")
 _SPEAKER = re.compile(r"^[^\s:：]{1,8} ?[:：] ?")
@@ -81,6 +83,11 @@ def _unusual(word: str) -> bool:
     return bool(word) and (len(word) >= 20 or not re.search("[가-힣A-Za-z]", word))
 
 
+def is_json(text: str) -> bool:
+    """Whether a text is graded as JSON; all others are prose, whose endings are learned."""
+    return _JSON.match(text) is not None
+
+
 class Endings:
     """What completes texts in a corpus."""
 
@@ -116,7 +123,7 @@ class Endings:
             return COMPLETE
         if text[-1] == "�":
             return CUT
-        if text[0] in "{[" and re.match(r'[\[{]\s*["{\[\]}]', text):
+        if is_json(text):
             try:
                 json.loads(text, strict=False)
                 return COMPLETE
@@ -164,7 +171,7 @@ def _counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text.lstrip()[:1] in ("{", "["):
+                if is_json(text):
                     continue
                 found.update(("sentence", w) for w in _SENTENCE.findall(text))
                 for line in text.rstrip().split("\n")[:-1]:

@@ -65,3 +65,21 @@ def test_share_per_source(spark):
     got = judge(spark, DOCS + [("bad", CUT[i % 3]) for i in range(3)] + [("bad", "Fine.")])
     bad = [r for r in got.values() if r["source"] == "bad"]
     assert sum(r["truncated"] for r in bad) == 3 and len(bad) == 4
+
+
+def test_prose_behind_a_bracket_is_learned(spark):
+    """A source that begins every text with a time in brackets has its own endings, and they are complete."""
+    times = [f"[00:{i % 60:02}] {turns(4)}" for i in range(200)]
+    got = judge(spark, [("timed", t) for t in times] + [("timed", "[00:12] A: 파일에서 창문까지 누가")])
+    assert [i for i, r in got.items() if r["truncated"]] == [len(times)]
+    assert not T.is_json("[00:12] A: x") and not T.is_json("[Title] x") and T.is_json('{"a": 1') and T.is_json("\n [{")
+
+
+def test_the_query_by_source(spark, tmp_path):
+    from maldure.llm.q_truncation import p8_sources
+
+    rows = [(i, t, s) for i, (s, t) in enumerate(DOCS + [("bad", CUT[i % 3]) for i in range(3)] + [("bad", None), ("bad", "Fine.")])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source"]: r for r in p8_sources(spark, str(tmp_path)).collect()}
+    assert (got["bad"]["documents"], got["bad"]["truncated"], got["bad"]["share"], got["bad"]["at_a_limit"]) == (4, 3, 0.75, 0)
+    assert got["call"]["documents"] == 200 and got["call"]["truncated"] == 0
