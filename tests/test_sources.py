@@ -168,3 +168,12 @@ def test_streams(spark, tmp_path):
     q = rollup.without_resends(stream).select("run_id").writeStream.format("memory").queryName("single").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r[0] for r in spark.table("single").collect()) == ["a", "b"]
+
+
+def test_every_row_is_resampled(spark, tmp_path):
+    """A ramp of one sample (row_id 0, 50, ...) too."""
+    from maldure.plans.q_sources import resample_linear_all
+
+    spark.range(101).select(F.col("id").alias("row_id")).write.parquet(str(tmp_path / "sample_results.parquet"))
+    got = {r["row_id"]: (r["n"], r["first"], r["last"]) for r in resample_linear_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (2 * (i % 50 + 1), 0.0, float(i % 50)) for i in range(101)}
