@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maldure.operators import inference as I
 from maldure.operators import jobs as J
 from maldure.operators.aggregate import aggregate_samples
+from maldure.operators.badrows import classify_records, csv_fields, held
 from maldure.operators.error_analysis import error_blocks
 from maldure.operators.leaderboard import ranked
 from maldure.plans import q_metrics as M
@@ -54,10 +55,31 @@ SELECT CASE WHEN p LIKE '/%' THEN p ELSE '/data/' || p END AS audio_path, coales
   SELECT coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')) AS p, t, s FROM (VALUES ('a.wav', NULL, NULL, '하나', NULL), ('', 'b.wav', NULL, '', '둘'), (NULL, NULL, '/abs/c.flac', NULL, NULL), ('', '', 'd.pcm', NULL, '')) v(a, b, c, t, s))
 """)
 def manifest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples only; manifest_alias_all has the table's records."""
     rows = spark.createDataFrame([dict(zip(("audio_path", "audio_filepath", "path", "text", "transcript"), x)) for x in _ALIASES], files.MANIFEST)
     return files.with_aliases(rows, "/data").select("audio_path", "text")
 
 
+@query()
+def manifest_alias_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of manifest_lines that loads (p2_found has the others), under its own file's column names.
+
+    Without SQL, which can't take quoted records apart; tested against a plain Python version.
+    """
+    listed = load(spark, sf_dir, "manifest_files")
+    rows = classify_records(load(spark, sf_dir, "manifest_lines").select("line_id", "file_name", "raw_line"), listed).where("reason IS NULL").select("line_id", "file_name", "raw_record")
+    own = listed.select("file_name", "fmt", "header_columns").dropDuplicates(["file_name"])
+    rows = rows.join(F.broadcast(own), "file_name", "left")
+    is_csv = F.coalesce(F.col("fmt") == "csv", F.col("file_name").endswith(".csv"), F.lit(False))
+    kinds = dict(x.split() for x in files.MANIFEST.split(", "))
+    csv = held(rows.where(is_csv), named=F.map_from_arrays("header_columns", csv_fields(F.col("raw_record"))))
+    csv = csv.select("line_id", *[F.try_element_at("named", F.lit(n)).alias(n) for n in kinds])
+    jsonl = held(rows.where(~is_csv), named=F.from_json("raw_record", ", ".join(f"{n} string" for n in kinds)))
+    jsonl = jsonl.select("line_id", *[F.col(f"named.{n}").alias(n) for n in kinds])
+    typed = csv.unionByName(jsonl).select("line_id", *[F.trim(n).try_cast(k).alias(n) if k != "string" else n for n, k in kinds.items()])
+    return files.with_aliases(typed, "/data", "line_id").select("line_id", "audio_path", "text")
+
+
 @query()
 def scan_trn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loaded utterances as a transcript list, parsed. The text is normalized, for which there is no SQL."""

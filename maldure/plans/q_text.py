@@ -82,9 +82,19 @@ SELECT example, regexp_replace(regexp_replace(text, '\(\s*([A-Za-z&\-.](?:[A-Za-
 FROM (VALUES {_VALUES}) t(example, text)
 """)
 def kspon_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples only; kspon_dual_all has the table's texts."""
     return _examples(spark, X.dual_transcription)
 
 
+def _dual(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '\(\s*([A-Za-z&\-.](?:[A-Za-z\s&\-.]*[A-Za-z&\-.])?)\s*/[^)]+\)', '\1', 'g'), '\([^/]+/\s*([^) ][^)]*?)\s*\)', '\1', 'g')"
+
+
+@query(f"SELECT row_id, {_dual('reference')} AS reference, {_dual('prediction')} AS prediction FROM sample_results")
+def kspon_dual_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir, X.dual_transcription)
+
+
 _noise = "text"
 for _tag in X.NOISE_TAGS:
     _noise = f"replace({_noise}, '{_tag}', '')"

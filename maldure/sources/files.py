@@ -33,12 +33,12 @@ def resolve_path(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))
 
 
-def with_aliases(rows: DataFrame, root: str = "") -> DataFrame:
-    """``audio_path`` (resolved) and ``text`` from the first alias that isn't empty; ``sample_id`` from the first that is there."""
+def with_aliases(rows: DataFrame, root: str = "", *keep: str) -> DataFrame:
+    """``audio_path`` (resolved) and ``text`` from the first alias that isn't empty; ``sample_id`` from the first that is there; the columns ``keep``."""
     filled = lambda names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
     audio, text = filled(("audio_path", "audio_filepath", "path")), filled(("text", "transcript", "sentence"))
     own = rows.select(
-        (resolve_path(audio, root) if root else audio).alias("audio_path"), F.coalesce(text, F.lit("")).alias("text"),
+        *keep, (resolve_path(audio, root) if root else audio).alias("audio_path"), F.coalesce(text, F.lit("")).alias("text"),
         F.coalesce("id", "sample_id", "utt_id", audio).alias("sample_id"), F.coalesce(F.nullif("sample_rate", F.lit(0)), F.lit(16000)).alias("sample_rate"), "speaker", "duration",
     )
     return own

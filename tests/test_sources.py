@@ -177,3 +177,28 @@ def test_every_row_is_resampled(spark, tmp_path):
     spark.range(101).select(F.col("id").alias("row_id")).write.parquet(str(tmp_path / "sample_results.parquet"))
     got = {r["row_id"]: (r["n"], r["first"], r["last"]) for r in resample_linear_all(spark, str(tmp_path)).collect()}
     assert got == {i: (2 * (i % 50 + 1), 0.0, float(i % 50)) for i in range(101)}
+
+
+def test_aliases_of_every_record(spark, tmp_path):
+    """Records of CSV and JSON lines under alias columns, against the csv and json modules; those that fail aren't there."""
+    import csv
+    import json
+
+    from maldure.plans.q_sources import manifest_alias_all
+
+    listed = [("a.csv", "csv", ["id", "transcript", "path", "audio_path"], 4, None), ("b.csv", "csv", ["audio_filepath", "sentence"], 2, 8000), ("c.jsonl", "jsonl", None, None, None)]
+    lines = [
+        ("a.csv", 'u1,"a ""b"", c",x.wav,'), ("a.csv", "u2,,/abs/y.flac,z.pcm\r"), ("a.csv", "u3,t,x.mp3,"), ("a.csv", "u4,t"), ("b.csv", "d e.WAV,'둘'"), ("b.csv", '"q.wav","two\nlines"'),
+        ("c.jsonl", '{"path": "p.wav", "audio_path": "", "text": "", "transcript": "\\ud558\\ub098", "sample_rate": "8000", "duration": 1.5}'), ("c.jsonl", '{"audio_filepath": "k.pcm", "sentence": null}'), ("c.jsonl", "{"), ("c.jsonl", " "),
+    ]
+    spark.createDataFrame(listed, "file_name string, fmt string, header_columns array<string>, n_columns int, default_sample_rate int").write.parquet(str(tmp_path / "manifest_files.parquet"))
+    spark.createDataFrame([(i, f, r) for i, (f, r) in enumerate(lines)], "line_id long, file_name string, raw_line string").write.parquet(str(tmp_path / "manifest_lines.parquet"))
+    got = {r["line_id"]: (r["audio_path"], r["text"]) for r in manifest_alias_all(spark, str(tmp_path)).collect()}
+    headers = {f: h for f, _, h, *_ in listed}
+    want = {}
+    for i in (0, 1, 4, 5, 6, 7):
+        name, raw = lines[i]
+        row = json.loads(raw) if headers[name] is None else dict(zip(headers[name], next(csv.reader([raw.removesuffix("\r")] if "\n" not in raw else raw.splitlines(True)))))
+        path = next(row[n] for n in ("audio_path", "audio_filepath", "path") if row.get(n))
+        want[i] = (path if path.startswith("/") else f"/data/{path}", next((row[n] for n in ("text", "transcript", "sentence") if row.get(n)), ""))
+    assert got == want
