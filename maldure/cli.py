@@ -1,4 +1,4 @@
-"""Command line: evaluate a model on a dataset, build a board, roll domains up, validate a board, scan texts, plan jobs."""
+"""Command line: evaluate a model on a dataset, build a board, validate a board."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maldure.functions.text import DEFAULT_PRESET, PRESETS, sanitize_command
 from maldure.operators import aggregate, inference, leaderboard, quality
-from maldure.sources import files, sinks
+from maldure.sources import audio, files, sinks
 
 
 def run_id() -> str:
@@ -24,8 +24,10 @@ def run_id() -> str:
 def _dataset(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.dataset_name == "mock":
         return files.mock_rows(spark)
-    rows = files.read_manifest(spark, args.manifest, args.dataset_rootpath)
-    return rows.select("sample_id", "text", F.array().cast("array<float>").alias("audio"), "sample_rate", F.create_map(F.lit("audio_path"), "audio_path").alias("metadata"))
+    given = F.nullif("sample_rate", F.lit(0)).alias("given_rate")
+    rows = files.read_manifest(spark, args.manifest, args.dataset_rootpath, given).withColumn("_read", audio.read_audio("audio_path"))
+    samples = F.coalesce("_read.samples", F.array().cast("array<float>")).alias("audio")  # of a row without a path
+    return rows.select("sample_id", "text", samples, F.coalesce("given_rate", "_read.sample_rate", "sample_rate").alias("sample_rate"), F.create_map(F.lit("audio_path"), "audio_path").alias("metadata"))
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> int:

@@ -49,6 +49,25 @@ def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     return np.interp(np.linspace(0, len(samples) - 1, n), np.arange(len(samples)), samples).astype("float32")
 
 
+def read_samples(path: str) -> tuple[np.ndarray, int | None]:
+    """Mono samples of a .wav or raw .pcm file, and its rate where it has one; an error for anything else."""
+    with open(path.removeprefix("file:"), "rb") as file:
+        data = file.read()
+    if path.lower().endswith(".pcm"):
+        return pcm_samples(data), None
+    got = wav_samples(data) if path.lower().endswith(".wav") else None
+    if got is None:
+        raise ValueError(f"could not decode {path}: only PCM in .wav and raw .pcm are read")
+    return got
+
+
+@F.pandas_udf(WAV)
+def read_audio(path: pd.Series) -> pd.DataFrame:
+    """The files' samples and rates; the workers must see the files under these paths."""
+    rows = [(None, None) if p is None else read_samples(p) for p in path]
+    return pd.DataFrame({"samples": [r[0] for r in rows], "sample_rate": pd.array([r[1] for r in rows], dtype="Int32")})
+
+
 @F.pandas_udf(SAMPLES)
 def pcm_decode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else pcm_samples(b))

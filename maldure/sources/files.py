@@ -33,7 +33,7 @@ def resolve_path(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))
 
 
-def with_aliases(rows: DataFrame, root: str = "", *keep: str) -> DataFrame:
+def with_aliases(rows: DataFrame, root: str = "", *keep: str | Column) -> DataFrame:
     """``audio_path`` (resolved) and ``text`` from the first alias that isn't empty; ``sample_id`` from the first that is there; the columns ``keep``."""
     filled = lambda names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
     audio, text = filled(("audio_path", "audio_filepath", "path")), filled(("text", "transcript", "sentence"))
@@ -44,8 +44,8 @@ def with_aliases(rows: DataFrame, root: str = "", *keep: str) -> DataFrame:
     return own
 
 
-def read_manifest(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """A manifest of JSON lines or CSV with a header, told by its suffix; another suffix is an error."""
+def read_manifest(spark: SparkSession, path: str, root: str | None = None, *keep: str | Column) -> DataFrame:
+    """A manifest of JSON lines or CSV with a header, told by its suffix; another suffix is an error. keep: as in with_aliases."""
     suffix = os.path.splitext(path)[1].lower()
     if suffix == ".jsonl":
         rows = spark.read.schema(MANIFEST).json(path)
@@ -55,7 +55,7 @@ def read_manifest(spark: SparkSession, path: str, root: str | None = None) -> Da
         rows = raw.select(*[(F.col(n).try_cast(k) if n in raw.columns else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
     else:
         raise ValueError(f"a manifest ends in .jsonl or .csv, not {suffix!r}")
-    return with_aliases(rows, os.path.dirname(path) if root is None else root)
+    return with_aliases(rows, os.path.dirname(path) if root is None else root, *keep)
 
 
 def parse_transcripts(lines: DataFrame, root: str = "", column: str = "value") -> DataFrame:

@@ -23,3 +23,26 @@ def test_validation_of_files(spark, tmp_path, capsys):
     path.write_text("[]")
     assert cli.main(["validate", str(path)], spark) == 0
     assert "missing file" in capsys.readouterr().out
+
+
+def test_a_manifest_is_evaluated_on_its_audio(spark, tmp_path):
+    import wave
+
+    import pytest
+
+    for name, channels, rate in (("a.wav", 1, 8000), ("b.wav", 2, 16000)):
+        with wave.open(str(tmp_path / name), "wb") as file:
+            file.setnchannels(channels), file.setsampwidth(2), file.setframerate(rate)
+            file.writeframes(b"\1\0" * 8000 * channels)
+    (tmp_path / "c.pcm").write_bytes(b"\1\0" * 4000)
+    lines = [{"id": "a", "audio_path": "a.wav", "text": "x"}, {"id": "b", "audio_path": "b.wav", "text": "y"}, {"id": "c", "audio_path": "c.pcm", "text": "z", "sample_rate": 8000}]
+    manifest = tmp_path / "m.jsonl"
+    manifest.write_text("\n".join(map(json.dumps, lines)))
+    args = ["evaluate", "--dataset_name", "manifest", "--manifest", str(manifest), "--output_dir", str(tmp_path / "results")]
+    assert cli.main(args, spark) == 0
+    found = [json.loads(x) for p in (tmp_path / "results").glob("*/samples.jsonl/part-*") for x in p.read_text().splitlines()]
+    assert {r["sample_id"]: (r["audio_duration"], r["sample_rate"]) for r in found} == {"a": (1.0, 8000), "b": (0.5, 16000), "c": (0.5, 8000)}
+    assert all(r["metrics"]["rtf"] is not None for r in found)
+    manifest.write_text(json.dumps({"audio_path": "none.wav", "text": "x"}))
+    with pytest.raises(Exception, match="none.wav"):
+        cli.main(args, spark)
