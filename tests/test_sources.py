@@ -172,10 +172,10 @@ def test_streams(spark, tmp_path):
 
 def test_every_row_is_resampled(spark, tmp_path):
     """A ramp of one sample (row_id 0, 50, ...) too."""
-    from maldure.plans.q_sources import resample_linear_all
+    from maldure.plans.registry import QUERIES
 
     spark.range(101).select(F.col("id").alias("row_id")).write.parquet(str(tmp_path / "sample_results.parquet"))
-    got = {r["row_id"]: (r["n"], r["first"], r["last"]) for r in resample_linear_all(spark, str(tmp_path)).collect()}
+    got = {r["row_id"]: (r["n"], r["first"], r["last"]) for r in QUERIES["resample_linear_all"](spark, str(tmp_path)).collect()}
     assert got == {i: (2 * (i % 50 + 1), 0.0, float(i % 50)) for i in range(101)}
 
 
@@ -184,7 +184,7 @@ def test_aliases_of_every_record(spark, tmp_path):
     import csv
     import json
 
-    from maldure.plans.q_sources import manifest_alias_all
+    from maldure.plans.registry import QUERIES
 
     listed = [("a.csv", "csv", ["id", "transcript", "path", "audio_path"], 4, None), ("b.csv", "csv", ["audio_filepath", "sentence"], 2, 8000), ("c.jsonl", "jsonl", None, None, None)]
     lines = [
@@ -193,7 +193,7 @@ def test_aliases_of_every_record(spark, tmp_path):
     ]
     spark.createDataFrame(listed, "file_name string, fmt string, header_columns array<string>, n_columns int, default_sample_rate int").write.parquet(str(tmp_path / "manifest_files.parquet"))
     spark.createDataFrame([(i, f, r) for i, (f, r) in enumerate(lines)], "line_id long, file_name string, raw_line string").write.parquet(str(tmp_path / "manifest_lines.parquet"))
-    got = {r["line_id"]: (r["audio_path"], r["text"]) for r in manifest_alias_all(spark, str(tmp_path)).collect()}
+    got = {r["line_id"]: (r["audio_path"], r["text"]) for r in QUERIES["manifest_alias_all"](spark, str(tmp_path)).collect()}
     headers = {f: h for f, _, h, *_ in listed}
     want = {}
     for i in (0, 1, 4, 5, 6, 7):
