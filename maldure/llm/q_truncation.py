@@ -16,8 +16,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_truncation(load(spark, sf_dir, "documents"), "doc_id", "text", "source").where("truncated").select("doc_id")
 
 
+#: Why a text counts as cut; see judge_truncation.
+REASONS = ("limit", "transfer", "ending", "structure")
+
+
 @query
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source truncates: documents with text, truncated ones, their share, and those at a significant length."""
+    """How often each source truncates: documents with text, truncated ones and their share, and how many for each reason."""
     judged = judge_truncation(load(spark, sf_dir, "documents"), "doc_id", "text", "source").where("chars > 0")
-    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share"), F.count_if(F.col("truncated") & F.col("significant")).alias("at_a_limit"))
+    by_reason = [F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in REASONS]
+    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share"), *by_reason)
