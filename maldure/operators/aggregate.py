@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maldure.functions.metrics import finite
+from maldure.operators.order import running_totals
 
 RATES = ("wer", "cer", "mer", "jer", "ser", "rtf", "latency")
 EDIT_RATES = ("wer", "cer", "mer", "jer")
@@ -45,20 +45,26 @@ def micro_columns(source: str = "metrics", prefix: str = "micro_") -> list[Colum
 def exact_percentiles(samples: DataFrame, keys: Sequence[str], time: str = "processing_time", percents: Sequence[float] = PERCENTS) -> DataFrame:
     """Exact percentiles of the valid samples' finite times, with linear interpolation. Columns: keys, p50, p90, ...
 
-    Equal values are counted first, by a partial aggregate; the counts are then added up in order by a window, which spills
-    where a hash of all values of a hot group would not. Groups without a finite time have no row.
+    Equal values are counted first, by a partial aggregate; the counts are then added up in order over range partitions, so
+    no task sorts or holds a group. Groups without a finite time have no row; null keys form a group.
     """
     value = finite(F.col(time))
     counts = samples.where(valid() & value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    own = W.partitionBy(*keys)
-    summed = counts.withColumn("_cum", F.sum("_c").over(own.orderBy("_v"))).withColumn("_n", F.sum("_c").over(own))
-    fields = []
+    summed = running_totals(counts, keys, ["_v"], "_c")
+    spots, fields = [], []
     for p in percents:
-        low = F.floor(F.lit(p) * (F.col("_n") - 1))
-        first, second = (F.min(F.when(F.col("_cum") > low + k, F.col("_v"))) for k in (0, 1))
-        part = F.first(F.lit(p) * (F.col("_n") - 1) - low)
+        at = F.lit(p) * (F.col("_total") - 1)
+        low = F.floor(at)
+        # the first value at or behind a rank, and whether this row has it
+        has = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+        spots.append(has(low) | has(low + 1))
+        first, second = (F.min(F.when(F.col("_upto") > low + k, F.col("_v"))) for k in (0, 1))
+        part = F.first(at - low)
         fields.append((first + F.when(part > 0, part * (second - first)).otherwise(0)).alias(f"p{int(100 * p)}"))
-    return summed.groupBy(*keys).agg(*fields)
+    wanted = spots[0]
+    for spot in spots[1:]:
+        wanted = wanted | spot
+    return summed.where(wanted).groupBy(*keys).agg(*fields)
 
 
 def aggregate_samples(samples: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maldure.functions.metrics import finite, outlier_rate
 from maldure.functions.text import TELEPHONE, slice_label, subset_or_default
-from maldure.tables import checkpoint
+from maldure.operators.order import ranked
 
 BOARD_METRICS = ("cer", "wer", "mer", "jer", "ser", "rtf", "latency")
 # The order of subsets on a board; others follow by name.
@@ -69,27 +68,6 @@ def sort_key(name: str) -> Column:
     return value if name == "outlier_rate" else F.coalesce(finite(value), F.lit(float("inf")))
 
 
-def ranked(rows: DataFrame, order: Sequence[Column], name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
-    """Positions from 1 in the given order, of all rows or within each group, without one task that sorts a group.
-
-    Rows are range-partitioned by group and order, and sorted; what each partition holds of each group gives the group's
-    first position there. A hot group spreads over many partitions. The partitions are written to the shared checkpoint
-    folder, since both steps must see the same ones.
-    """
-    keys = [F.col(k).asc() for k in within] + list(order)
-    placed = checkpoint(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_p", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    held = placed.groupBy("_p", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_from"))
-    before = F.sum("_n").over((W.partitionBy(*within) if within else W).orderBy("_p")) - F.col("_n")
-    first = held.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_w{i}") for i, k in enumerate(within)], (before - F.col("_from")).alias("_first"))
-    same = F.col("_p") == F.col("_q")
-    for i, k in enumerate(within):
-        same = same & F.col(k).eqNullSafe(F.col(f"_w{i}"))
-    # without groups there is one row per partition
-    out = placed.join(first if within else F.broadcast(first), same).withColumn(name, (F.col("_first") + F.col("_i") + 1).cast("long"))
-    return out.drop("_p", "_i", "_at", "_first", "_q", *[f"_w{i}" for i in range(len(within))])
-
-
 def best_per_slice(rows: DataFrame, by: str = "cer", arrival: str = "entry_id") -> DataFrame:
     """The best row of each model, dataset and subset by a metric; of equals the first. Rows without model or dataset are out."""
     named = rows.where((F.coalesce("model", F.lit("")) != "") & (F.coalesce("dataset", F.lit("")) != "")).withColumn("_s", subset_or_default(F.col("subset")))

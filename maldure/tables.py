@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is sent to every worker only if it was counted and has at most so many rows.
+BROADCAST_ROWS = 200_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +15,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; an error where it is unset, except on a single machine."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "maldure-checkpoints")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/maldure-checkpoints"
     context.setCheckpointDir(folder)
     return folder
 
@@ -30,3 +33,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, written: bool = False) -> DataFrame:
+    """``df`` marked to be sent to every worker if it has few rows, by count; else it is joined as Spark sees fit. written: ``df`` is a checkpoint."""
+    held = df if written else checkpoint(df)
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
