@@ -5,9 +5,12 @@ clustered under a size function that depends on the quantile (the arcsine scale)
 and hold at most about ``pi/2/compression`` of the values in the middle. Digests of parts (partitions, days, files)
 are merged by clustering their clusters again. Since clusters keep their ends, a digest bounds every order statistic
 strictly; a second pass over the values counts what lies below that bracket and inside it, which certifies the rank
-error of the estimate and, with the few distinct values inside the bracket, gives the exact percentile. Equal values are
-counted together, however many there are; the values inside a bracket are a fixed small share of the distinct values, are
-ranked by a window, and are never gathered into one row.
+error of the estimate and, with the few distinct values inside the bracket, gives the exact percentile.
+
+Scale: a group is spread over as many parts as its count asks for. Parts' digests are merged in a tree, each node by a
+stream that holds one digest; none is collected. The counting pass joins one row per group and part, and reads each value
+once. Equal values are counted together; the values inside a bracket are a fixed small share of the distinct values, and
+are added up over range partitions, so no task sorts a group.
 """
 
 from __future__ import annotations
@@ -17,14 +20,18 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from maldure.operators.order import running_totals
+from maldure.tables import checkpoint, small
+
 PERCENTS = (0.5, 0.9, 0.95, 0.99)
 #: Clusters per digest are at most about this many.
 COMPRESSION = 400
-#: Parts into which every group's values are spread, so that no group is held by one task.
-SPREAD = 32
+#: A group has a part for each so many of its values.
+PART_ROWS = 500_000
+#: Digests that one node of the tree merges, at most, where parts are numbered.
+FAN = 64
 #: Values buffered in a task before they are clustered.
 BUFFER = 500_000
 
@@ -138,43 +145,113 @@ def partial_digests(df: DataFrame, keys: Sequence[str], value: str, compression:
     return df.where(finite).select(*keys, F.col(value).cast("double").alias("v")).mapInArrow(run, schema)
 
 
-def merged_brackets(parts: DataFrame, keys: Sequence[str], percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION) -> DataFrame:
-    """Merge the parts' digests of each group; a row for each group and percentile with the strict bracket.
+def _equal(keys: Sequence[str], other: str = "_k") -> Column:
+    """Whether the keys equal those that are called by their number; nulls are equal."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"{other}{i}"))
+    return same
+
+
+def _renamed(df: DataFrame, keys: Sequence[str], prefix: str = "_k") -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)], *[c for c in df.columns if c not in keys])
+
+
+def merge_digests(parts: DataFrame, keys: Sequence[str], compression: int = COMPRESSION) -> DataFrame:
+    """One digest per group of ``keys``, merged one after another from rows in the order of their keys: a task holds one at a time."""
+    keys = list(keys)
+    schema = ", ".join([f"`{k}` {parts.select(k).schema[0].dataType.simpleString()}" for k in keys] + [f"{x} array<double>" for x in DIGEST_FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, now, waiting, done = None, None, [], {}
+
+        def settle():
+            if waiting:
+                d = merge(waiting, compression) if len(waiting) > 1 else waiting[0]
+                waiting[:] = [d]
+
+        for batch in batches:
+            arrow = arrow or [batch.schema.field(i).type for i in range(len(keys))]
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys)))))
+            for key, *lists in zip(names, *(batch.column(len(keys) + i).to_pylist() for i in range(4))):
+                if key != now and waiting:
+                    settle()
+                    done[now] = waiting[0]
+                    waiting.clear()
+                now = key
+                waiting.append(tuple(np.array(x) for x in lists))
+                if len(waiting) > FAN:
+                    settle()
+                if len(done) > 1000:
+                    yield _digest_batch(keys, arrow, done)
+                    done = {}
+        settle()
+        if waiting:
+            done[now] = waiting[0]
+        if done:
+            yield _digest_batch(keys, arrow, done)
+
+    return parts.select(*keys, *DIGEST_FIELDS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
-    Columns: keys, q, n (values of the group), estimate, position and part (linear interpolation takes the values at
-    ``position`` and the next one, weighted by ``part``), low and high (bounds of both values).
+
+def merge_parts(parts: DataFrame, keys: Sequence[str], part: str, width: int, compression: int = COMPRESSION) -> DataFrame:
+    """One digest per group of numbered parts (from 0, below ``width``): a tree in which no node has more than FAN of them."""
+    while width > 1:
+        width = -(-width // FAN)
+        parts = parts.withColumn(part, F.floor(F.col(part) / FAN).cast("int"))
+        parts = merge_digests(parts, [*keys, part], compression)
+    return parts.drop(part)
+
+
+def brackets(digests: DataFrame, keys: Sequence[str], percents: Sequence[float] = PERCENTS) -> DataFrame:
+    """What each group's digest says of each percentile. Columns: keys, n (values of the group), at (an array).
+
+    at: of each percentile q, estimate, position and part (linear interpolation takes the values at ``position`` and the next one,
+    weighted by ``part``), low and high (strict bounds of both values).
     """
     keys = list(keys)
-    types = [parts.select(k).schema[0].dataType.simpleString() for k in keys]
-    schema = ", ".join([f"`{k}` {t}" for k, t in zip(keys, types)] + ["q double, n long, estimate double, position long, part double, low double, high double"])
+    fields = ("q", "estimate", "position", "part", "low", "high")
+    kinds = (pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    schema = ", ".join([f"`{k}` {digests.select(k).schema[0].dataType.simpleString()}" for k in keys] + ["n long, at array<struct<q: double, estimate: double, position: long, part: double, low: double, high: double>>"])
+    entry = pa.list_(pa.struct(list(zip(fields, kinds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, out = [], []
-            for i, lists in enumerate(batch.column(len(keys)).to_pylist()):
-                d = merge([tuple(np.array(x[f]) for f in DIGEST_FIELDS) for x in lists], compression)
+            counts, out = [], []
+            for lists in zip(*(batch.column(len(keys) + i).to_pylist() for i in range(4))):
+                d = tuple(np.array(x) for x in lists)
                 n = int(round(d[1].sum()))
+                counts.append(n)
+                out.append([])
                 for q in percents:
                     at = q * (n - 1)
                     first = min(int(np.floor(at)), n - 1)
                     low, high = bracket(d, first)[0], bracket(d, min(first + 1, n - 1))[1]
-                    which.append(i)
-                    out.append((q, n, estimate(d, q), first, at - first, low, high))
-            kinds = (pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            columns = [batch.column(j).take(pa.array(which, type=pa.int64())) for j in range(len(keys))]
-            columns += [pa.array([x[j] for x in out], type=t) for j, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "q", "n", "estimate", "position", "part", "low", "high"])
+                    out[-1].append(dict(zip(fields, (q, estimate(d, q), first, at - first, low, high))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(counts, type=pa.int64()), pa.array(out, type=entry)], names=[*keys, "n", "at"])
 
-    lists = parts.groupBy(*keys).agg(F.collect_list(F.struct(*DIGEST_FIELDS)).alias("digests"))
-    return lists.mapInArrow(run, schema)
+    return digests.select(*keys, *DIGEST_FIELDS).mapInArrow(run, schema)
 
 
-def spread(salt: Column, parts: int = SPREAD) -> Column:
-    """The part of a group to which a row belongs."""
-    return F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int")
+def finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
+def spread(rows: DataFrame, keys: Sequence[str], salt: Column, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+    """``rows`` with ``_part``: a group of more than ``part_rows`` rows has a part for each so many; and the largest number of parts.
+
+    Which groups those are is counted first. They are at most 1 / part_rows of the rows, and are sent out only if they are few.
+    """
+    keys = list(keys)
+    hot = checkpoint(_renamed(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts")).where("_parts > 1"), keys))
+    width = hot.agg(F.max("_parts")).first()[0] or 1
+    if width == 1:
+        return rows.withColumn("_part", F.lit(0)), 1
+    own = rows.join(small(hot), _equal(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return own.withColumn("_part", F.pmod(F.xxhash64(salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts"), width
 
 
-def certified_percentiles(values: DataFrame, keys: Sequence[str], value: str, salt: str, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION) -> DataFrame:
+def certified_percentiles(values: DataFrame, keys: Sequence[str], value: str, salt: str, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION, part_rows: int = PART_ROWS) -> DataFrame:
     """Percentiles of ``value`` for each group of ``keys``, exact by linear interpolation, with the digest's certificate.
 
     values: one row per measurement; ``salt`` is a column that differs between the rows of a group (it spreads a hot
@@ -183,37 +260,55 @@ def certified_percentiles(values: DataFrame, keys: Sequence[str], value: str, sa
     most, by the counting pass) and bracket_rows (values inside the bracket, which were sorted).
     """
     keys = list(keys)
-    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    rows = values.where(finite).select(*keys, F.col(value).cast("double").alias("_v"), spread(F.col(salt)).alias("_part")).repartition(*keys, "_part")
-    return percentiles_of_spread(rows, keys, percents, compression)
+    rows, width = spread(values.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"), F.col(salt).alias("_salt")), keys, F.col("_salt"), part_rows)
+    return percentiles_of_spread(rows.drop("_salt").repartition(*keys, "_part"), keys, width, percents, compression)
 
 
-def percentiles_of_spread(rows: DataFrame, keys: Sequence[str], percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION) -> DataFrame:
-    """As certified_percentiles, for rows (keys, _v, _part) that are already partitioned by keys and _part."""
+def percentiles_of_spread(rows: DataFrame, keys: Sequence[str], width: int, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION) -> DataFrame:
+    """As certified_percentiles, for rows (keys, _v, _part) that are already partitioned by keys and _part (below ``width``)."""
     keys = list(keys)
-    brackets = merged_brackets(partial_digests(rows, keys, "_v", compression), keys, percents, compression)
-    wide = brackets.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    on = None
-    right = wide.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in wide.columns if c not in keys and c != "_part"], F.col("_part").alias("_kp"))
-    for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        on = same if on is None else on & same
-    on = on & (F.col("_part") == F.col("_kp"))
-    v = F.col("_v")
-    # the counting pass: what lies below, above, and on each value inside the bracket; equal values are one row
-    bucket = F.when(v < F.col("low"), F.lit(float("-inf"))).when(v > F.col("high"), F.lit(float("inf"))).otherwise(v)
-    same = [F.first(c).alias(c) for c in ("n", "estimate", "position", "part")]
-    counted = (
-        rows.join(right, on)
-        .groupBy(*keys, "q", bucket.alias("_b"))
-        .agg(*same, F.count(F.lit(1)).alias("_c"), F.count_if(v < F.col("estimate")).alias("_under"), F.count_if(v <= F.col("estimate")).alias("_upto"))
-    )
-    counted = counted.withColumn("_cum", F.sum("_c").over(W.partitionBy(*keys, "q").orderBy("_b")))
-    at = lambda k: F.min(F.when(F.col("_cum") > F.col("position") + k, F.col("_b")))
-    inside = F.sum(F.when(F.abs("_b") < F.lit(float("inf")), F.col("_c")).otherwise(0))
-    grouped = counted.groupBy(*keys, "q").agg(*same, at(0).alias("_first"), at(1).alias("_second"), F.sum("_under").alias("_under"), F.sum("_upto").alias("_upto"), inside.alias("bracket_rows"))
-    first = F.col("_first")
-    second = F.when(F.col("part") > 0, F.col("_second")).otherwise(first)
+    parts = partial_digests(rows, [*keys, "_part"], "_v", compression)
+    if width > 1:
+        parts = checkpoint(parts)
+    known = brackets(merge_parts(parts, keys, "_part", width, compression), keys, percents)
+    if width > 1:
+        ends = parts.groupBy(*keys).agg(F.max("_part").alias("_last"))
+        known = known.join(_renamed(ends, keys, "_e"), _equal(keys, "_e")).drop(*[f"_e{i}" for i in range(len(keys))]).withColumn("_kp", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
+    else:
+        known = known.withColumn("_kp", F.lit(0))
+    known = checkpoint(known)
+    joined = rows.join(small(_renamed(known, keys), written=True), _equal(keys) & (F.col("_part") == F.col("_kp")))
+    # the counting pass: what lies below each bracket and its estimate, and how often each value inside of one occurs
+    v, at = F.col("_v"), lambda i: F.col("at")[i]
+    tally = lambda i: F.struct(F.count_if(v < at(i)["low"]).alias("below"), F.count_if(v < at(i)["estimate"]).alias("under"), F.count_if(v <= at(i)["estimate"]).alias("upto"))
+    counts = joined.groupBy(*keys).agg(F.array(*[tally(i) for i in range(len(percents))]).alias("counts"))
+    first = known.where("_kp = 0").drop("_kp")
+    facts = counts.join(_renamed(first, keys), _equal(keys)).select(*keys, "n", F.explode(F.arrays_zip("at", "counts")).alias("x")).select(*keys, "n", "x.at.*", "x.counts.*")
+    hit = F.explode(F.filter("at", lambda x: (x["low"] <= v) & (v <= x["high"]))["q"])
+    inside = running_totals(joined.select(*keys, hit.alias("q"), "_v").groupBy(*keys, "q", "_v").agg(F.count(F.lit(1)).alias("_c")), [*keys, "q"], ["_v"], "_c")
+    inside = inside.join(_renamed(facts.select(*keys, "q", "below", "position"), [*keys, "q"]), _equal([*keys, "q"])).drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+    place = lambda k: F.min(F.when(F.col("below") + F.col("_upto") > F.col("position") + k, v))
+    found = inside.groupBy(*keys, "q").agg(place(0).alias("_first"), place(1).alias("_second"), F.sum("_c").alias("bracket_rows"))
+    rows = found.join(_renamed(facts.drop("position", "below"), [*keys, "q"]), _equal([*keys, "q"]))
+    one, two = F.col("_first"), F.when(F.col("part") > 0, F.col("_second")).otherwise(F.col("_first"))
+    return rows.select(*keys, "q", "n", "estimate", (one + F.col("part") * (two - one)).alias("exact"), rank_error().alias("rank_error"), "bracket_rows")
+
+
+def rank_error() -> Column:
+    """By how many ranks the estimate is off at most, from the values counted under and up to it."""
     target = F.col("q") * (F.col("n") - 1)
-    error = F.greatest(F.lit(0.0), F.col("_under") - target - 1, target - F.col("_upto"))
-    return grouped.select(*keys, "q", "n", "estimate", (first + F.col("part") * (second - first)).alias("exact"), error.alias("rank_error"), "bracket_rows")
+    return F.greatest(F.lit(0.0), F.col("under") - target - 1, target - F.col("upto"))
+
+
+def certify(values: DataFrame, keys: Sequence[str], value: str, known: DataFrame) -> DataFrame:
+    """What a counting pass over the values says of estimates that were made without it. known: as from ``brackets``.
+
+    Columns: keys, q, n, estimate, low, high, rank_error. Each task counts on its own, however large a group is.
+    """
+    keys, v = list(keys), F.col(value)
+    rows = values.where(finite(v)).join(small(_renamed(known, keys)), _equal(keys))
+    size = len(PERCENTS)
+    tally = lambda i: F.struct(F.count_if(v < F.col("at")[i]["estimate"]).alias("under"), F.count_if(v <= F.col("at")[i]["estimate"]).alias("upto"))
+    counts = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.first("at").alias("at"), F.array(*[tally(i) for i in range(size)]).alias("counts"))
+    out = counts.select(*keys, "n", F.explode(F.arrays_zip("at", "counts")).alias("x")).select(*keys, "n", "x.at.*", "x.counts.*")
+    return out.select(*keys, "q", "n", "estimate", "low", "high", rank_error().alias("rank_error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maldure.llm.digest import PERCENTS, certified_percentiles, merged_brackets, partial_digests, percentiles_of_spread, spread
+from maldure.llm.digest import FAN, PERCENTS, brackets, certified_percentiles, certify, finite, merge_digests, partial_digests, percentiles_of_spread, spread
 from maldure.llm.queries import SQL, query
 from maldure.tables import load
 
@@ -13,21 +13,25 @@ NAMES = dict(zip(PERCENTS, ("p50", "p90", "p95", "p99")))
 TOLERANCE = 0.1
 
 
-def own_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid processing times, one row per run_id and sample_index, spread over parts of each run.
+def own_times(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The valid processing times (run_id, _v, _part), one row per run_id and sample_index, and the largest number of a run's parts.
 
     Of resends the one with the least row_id counts; rows without a sample_index count each for themselves.
     """
     rows = load(spark, sf_dir, "sample_results").select("run_id", "sample_index", "row_id", "processing_time", "is_outlier")
     key = F.coalesce(F.col("sample_index").cast("long"), -F.col("row_id") - 1)
-    rows = rows.where(F.col("run_id").isNotNull()).withColumn("_i", key).withColumn("_part", spread(F.col("_i")))
+    rows, width = spread(rows.where(F.col("run_id").isNotNull()).withColumn("_i", key), ["run_id"], F.col("_i"))
     one = (
         rows.repartition("run_id", "_part")
         .groupBy("run_id", "_part", "_i")
         .agg(F.min_by("processing_time", "row_id").alias("_v"), F.min_by(F.coalesce("is_outlier", F.lit(False)), "row_id").alias("_out"))
     )
-    finite = F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < F.lit(float("inf")))
-    return one.where(finite & ~F.col("_out")).select("run_id", F.col("_v"), "_part")
+    return one.where(finite(F.col("_v")) & ~F.col("_out")).select("run_id", "_v", "_part"), width
+
+
+def own_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, width = own_times(spark, sf_dir)
+    return percentiles_of_spread(rows, ["run_id"], width)
 
 
 @query
@@ -36,7 +40,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Runs without a valid time, and stored percentiles that are all null, are none.
     """
-    own = percentiles_of_spread(own_times(spark, sf_dir), ["run_id"])
+    own = own_percentiles(spark, sf_dir)
     stored = load(spark, sf_dir, "run_aggregates").select("run_id", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"latency_percentiles.{name}").alias("stored")) for q, name in NAMES.items()])).alias("s")).select("run_id", "s.*").where("stored IS NOT NULL")
     off = F.abs(F.col("stored") - F.col("exact")) > TOLERANCE * F.abs("exact")
     return own.join(stored, ["run_id", "q"]).where(off | F.isnan("stored")).select("run_id").distinct()
@@ -60,21 +64,24 @@ WHERE abs(a.latency_percentiles.p50 - q[1]) > 0.1 * abs(q[1]) OR abs(a.latency_p
 @query
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentiles of each run: the digest's estimate, the exact value and the certified rank error."""
-    return percentiles_of_spread(own_times(spark, sf_dir), ["run_id"])
+    return own_percentiles(spark, sf_dir)
 
 
 @query
 def p4_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentiles of each model, dataset and subset, over all of its runs."""
     runs = load(spark, sf_dir, "runs").select("run_id", F.col("model_name").alias("model"), F.col("dataset_name").alias("dataset"), F.coalesce("dataset_subset", F.lit("default")).alias("subset"))
-    rows = own_times(spark, sf_dir).join(runs, "run_id").withColumn("_salt", F.monotonically_increasing_id())
+    rows = own_times(spark, sf_dir)[0].join(runs, "run_id").withColumn("_salt", F.monotonically_increasing_id())
     return certified_percentiles(rows, ["model", "dataset", "subset"], "_v", "_salt")
 
 
 @query
 def p4_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of all valid arrivals per model, combined from one stored digest per model and day of finishing."""
+    """Percentiles of all valid arrivals per model, combined from one stored digest per model and day of finishing, with the certified rank error."""
     runs = load(spark, sf_dir, "runs").select("run_id", F.col("model_name").alias("model"))
-    rows = load(spark, sf_dir, "sample_results").where("NOT coalesce(is_outlier, false)").select("run_id", "processing_time", F.to_date("finished_at").alias("day"))
-    days = partial_digests(rows.join(runs, "run_id"), ["model", "day"], "processing_time")
-    return merged_brackets(days, ["model"]).select("model", "q", "n", "estimate", "low", "high")
+    rows = load(spark, sf_dir, "sample_results").where("NOT coalesce(is_outlier, false)").select("run_id", "processing_time", F.to_date("finished_at").alias("day")).join(runs, "run_id")
+    # each day's digest from what its tasks hold, by way of FAN nodes; then blocks of days, then all of them
+    parts = partial_digests(rows.withColumn("_node", F.pmod(F.spark_partition_id(), F.lit(FAN))), ["model", "day", "_node"], "processing_time")
+    days = merge_digests(merge_digests(parts, ["model", "day", "_node"]), ["model", "day"])
+    blocks = merge_digests(days.withColumn("_block", F.floor(F.unix_date("day") / FAN)), ["model", "_block"])
+    return certify(rows, ["model"], "processing_time", brackets(merge_digests(blocks, ["model"]), ["model"]))

@@ -51,8 +51,24 @@ def test_empty(spark):
     assert exact(spark, []) == {}
 
 
+def test_a_hot_group_is_spread_and_merged_in_a_tree(spark):
+    rng = np.random.default_rng(5)
+    groups = {"hot": rng.lognormal(size=9000), "cold": rng.normal(size=90)}
+    rows = [(g, k, float(x), "clash") for g, values in groups.items() for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spread, width = D.spread(df, ["g"], F.col("i"), 100)
+    assert width == 90 > D.FAN and {r["g"]: r["n"] for r in spread.groupBy("g").agg(F.count_distinct("_part").alias("n")).collect()} == {"hot": 90, "cold": 1}
+    got = {(r["g"], r["q"]): r for r in D.certified_percentiles(df.drop("q"), ["g"], "x", "i", part_rows=100).collect()}
+    assert len(got) == 8
+    for (g, q), r in got.items():
+        assert np.isclose(r["exact"], np.quantile(groups[g], q), rtol=1e-12) and r["rank_error"] <= 0.02 * r["n"] + 1
+
+
 def test_days_combine(spark):
     df = spark.range(0, 4000).select(F.lit("m").alias("m"), (F.col("id") % 7).alias("day"), F.col("id").cast("double").alias("x"))
-    days = D.partial_digests(df, ["m", "day"], "x")
-    got = {r["q"]: r for r in D.merged_brackets(days, ["m"]).collect()}
+    days = D.merge_digests(D.partial_digests(df.repartition(5), ["m", "day"], "x"), ["m", "day"])
+    assert days.count() == 7
+    known = D.brackets(D.merge_digests(days, ["m"]), ["m"])
+    got = {r["q"]: r for r in D.certify(df, ["m"], "x", known).collect()}
     assert got[0.5]["n"] == 4000 and abs(got[0.5]["estimate"] - 1999.5) < 40 and got[0.99]["low"] <= 3959 <= got[0.99]["high"]
+    assert all(abs(r["estimate"] - q * 3999) - 1 <= r["rank_error"] <= 40 for q, r in got.items())
