@@ -1,18 +1,22 @@
 """Best representative of each duplicate group, by skyline selection.
 
-Records of a group are compared by completeness (the set of fields with a real value), recency and trust. One record
-dominates another if it has at least its fields, is as recent and as trusted, and comes first if all is equal. The
-skyline is the first dominance layer; what is left after taking it away has the next, and so on. The survivor is the
-skyline's first record by the lexicographic policy (trust, recency, order of arrival); fields that it lacks are filled
-from the layers in turn, within a layer by the same policy.
-
-Completeness is compared as a set, not as a count: so the first record by the policy that has a field is never dominated,
-and a field's best value is always found in the first layer that has it.
-
-Scale: among records with the same trust and the same fields the first by the policy dominates all others, so
-a partial aggregate keeps one champion per (group, trust, set of fields). A group of any size is thereby at most
-2 x 2^fields rows before it is gathered; no group is held by one task and no hot group needs salting. Further fields, of
-any number and type, aren't compared: each keeps the first record by the policy that has it, in the same aggregate.
+Records of a group are compared by completeness, recency and trust. One record dominates another if it is at least as complete,
+as recent and as trusted, and comes first if all is equal. The skyline is the first dominance layer; what is left after taking
+it away has the next, and so on. The survivor is the skyline's first record by the lexicographic policy (trust, recency, order
+of arrival); fields that it lacks are filled from the layers in turn, within a layer by the same policy.
+
+Completeness is either of two:
+
+- ``fields``: a record is as complete as another if it has at least its fields. The first record by the policy that has a
+  field is then never dominated, so a field's best value is always in the first layer, and fills follow the policy alone.
+- ``count``: the number of fields with a real value. A record is dominated by fuller ones that lack the very field it has; so
+  fields are filled from later layers too, and a fuller record of less trust goes before a poorer one of the first order.
+
+Scale: among records with the same trust and the same fields the first by the policy dominates all others, so a partial
+aggregate keeps one champion per (group, trust, set of fields), and the layers are those of the champions. A group of any
+size is thereby at most 2 x 2^fields rows before it is gathered; no group is held by one task and no hot group needs salting.
+Further fields, of any number and type, aren't compared: each keeps the first record by the policy that has it, in the same
+aggregate.
 """
 
 from __future__ import annotations
@@ -73,20 +77,25 @@ def spelled(value: Column) -> Column:
     return F.when(name != "", name)
 
 
-def best_representatives(df: DataFrame, keys: Sequence[str], row: str, trust: Column, recency: Column, fields: Sequence[str], others: Sequence[str] = ()) -> DataFrame:
+def best_representatives(df: DataFrame, keys: Sequence[str], row: str, trust: Column, recency: Column, fields: Sequence[str], others: Sequence[str] = (), completeness: str = "fields") -> DataFrame:
     """One row per group of ``keys``: what survives, and where each field's value comes from.
 
     row: a unique number, in order of arrival. Rows with a null in any key are in no group. Columns: keys, rows, survivor,
     skyline (records of the first layer), layers, and for each field a struct with value, donor and layer (nulls where
     no record of the group has a real value). Nulls, blanks and placeholders are no values; of repeated rows the
-    first to arrive counts; a null recency is the least. At most MOST_FIELDS string fields, whose set is a record's
-    completeness. others: any number of further fields of any type, by their paths from ``leaves``; each becomes a struct
+    first to arrive counts; a null recency is the least. fields are strings; by ``fields`` of them any number, of which the
+    first MOST_FIELDS are compared (fills of the others are the same without: see above), by ``count`` at most MOST_FIELDS.
+    others: any number of further fields of any type, by their paths from ``leaves``; each becomes a struct
     with value and donor, the first record by the policy that has it.
     """
-    fields = list(fields)
-    types = dict(leaves(df.schema)) if others else {}
-    if not 0 < len(fields) <= MOST_FIELDS:
+    if completeness not in ("fields", "count"):
+        raise ValueError(f"completeness is 'fields' or 'count', not {completeness!r}")
+    if not fields or (completeness == "count" and len(fields) > MOST_FIELDS):
         raise ValueError(f"between 1 and {MOST_FIELDS} fields, not {len(fields)}")
+    every, fields = list(fields), list(fields)[:MOST_FIELDS]
+    wider = every[MOST_FIELDS:]
+    others = [*wider, *others]
+    types = dict(leaves(df.schema)) if others else {}
     mask = sum((F.when(real(F.col(f)).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fields)), F.lit(0))
     rows = df.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
@@ -103,7 +112,8 @@ def best_representatives(df: DataFrame, keys: Sequence[str], row: str, trust: Co
     groups = champions.groupBy(*own).agg(F.sum("_n").alias("rows"), F.sort_array(F.collect_list(record), asc=False).alias("_all"), *[F.max_by(f"_o{j}.at", f"_o{j}.place").alias(f"_o{j}") for j in range(len(others))])
 
     def layered(acc: Column, x: Column) -> Column:
-        over = F.filter(acc, lambda y: (y["mask"].bitwiseAND(x["mask"]) == x["mask"]) & (y["recency"] >= x["recency"]))
+        fuller = (lambda y: F.bit_count(y["mask"]) >= F.bit_count(x["mask"])) if completeness == "count" else (lambda y: y["mask"].bitwiseAND(x["mask"]) == x["mask"])
+        over = F.filter(acc, lambda y: fuller(y) & (y["recency"] >= x["recency"]))
         layer = F.coalesce(F.array_max(F.transform(over, lambda y: y["layer"])), F.lit(0)) + 1
         return F.concat(acc, F.array(F.struct(layer.alias("layer"), F.size(acc).alias("place"), x["mask"].alias("mask"), x["recency"].alias("recency"), (-x["late"]).alias("row"), x["value"].alias("value"))))
 
@@ -121,5 +131,6 @@ def best_representatives(df: DataFrame, keys: Sequence[str], row: str, trust: Co
     return groups.select(
         *[F.col(o).alias(k) for o, k in zip(own, keys)], "rows",
         F.element_at("_all", 1)["row"].alias("survivor"), F.size(first).alias("skyline"), F.array_max(F.transform("_all", lambda x: x["layer"])).alias("layers"), *donors,
-        *[F.struct(F.col(f"_o{j}.value").alias("value"), F.col(f"_o{j}.donor").alias("donor")).alias(f) for j, f in enumerate(others)],
+        *[F.struct(F.col(f"_o{j}.value").alias("value"), F.col(f"_o{j}.donor").alias("donor"), F.when(F.col(f"_o{j}.donor").isNotNull(), 1).alias("layer")).alias(f) for j, f in enumerate(wider)],
+        *[F.struct(F.col(f"_o{j}.value").alias("value"), F.col(f"_o{j}.donor").alias("donor")).alias(f) for j, f in enumerate(others) if j >= len(wider)],
     )

@@ -47,11 +47,57 @@ def test_the_skyline_keeps_what_is_undominated(spark):
     assert got["survivor"] == 1 and (got["a"]["donor"], got["b"]["donor"]) == (1, 2) and got["skyline"] == 3 and got["layers"] == 2
 
 
+def by_count(rows):
+    """Brute force: champions, layers by peeling, fills by layer."""
+    out = {}
+    full = lambda r: sum(bool(x) for x in r[4:])
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (bool(r[2]), r[3], -r[1]), reverse=True)
+        champions = list({(r[2], tuple(map(bool, r[4:]))): r for r in reversed(own)}.values())
+        champions.sort(key=own.index)
+        left, layer, layers = list(champions), {}, 0
+        while left:
+            layers += 1
+            top = [x for x in left if not any(y is not x and own.index(y) < own.index(x) and full(y) >= full(x) and y[3] >= x[3] and y[2] >= x[2] for y in left)]
+            layer.update({x: layers for x in top})
+            left = [x for x in left if x not in top]
+        donors = {f: min(((layer[c], own.index(c), c[1]) for c in champions if c[4 + i]), default=(None, None, None)) for i, f in enumerate(FIELDS)}
+        out[k] = (own[0][1], layers, {f: (d[2], d[0]) for f, d in donors.items()})
+    return out
+
+
+def test_later_layers_fill(spark):
+    """By count, the second layer gives what the first lacks, and decides against the policy's order."""
+    rows = [("g", 1, True, "2", "x", "y", None), ("g", 2, True, "1", None, None, "deep"), ("h", 3, True, "3", "x", "y", None), ("h", 4, True, "2", None, None, "poor"), ("h", 5, False, "4", "a", "b", "rich")]
+    random.seed(9)
+    rows += [(f"r{i % 20}", 10 + i, random.random() < 0.5, random.choice("123"), *(random.choice([None, "v", "w"]) for _ in FIELDS)) for i in range(300)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    got = {r["k"]: r for r in best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), FIELDS, completeness="count").collect()}
+    assert (got["g"]["c"]["value"], got["g"]["c"]["layer"], got["g"]["layers"]) == ("deep", 2, 2)
+    assert (got["h"]["survivor"], got["h"]["c"]["value"], got["h"]["c"]["layer"]) == (3, "rich", 1)
+    assert {k: (r["survivor"], r["layers"], {f: (r[f]["donor"], r[f]["layer"]) for f in FIELDS}) for k, r in got.items()} == by_count(rows)
+    first = {r["k"]: r for r in best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), FIELDS).collect()}
+    assert first["h"]["c"]["value"] == "poor" and first["h"]["c"]["layer"] == 1
+
+
+def test_more_fields_than_are_compared(spark):
+    names = [f"f{i}" for i in range(MOST_FIELDS + 5)]
+    random.seed(2)
+    rows = [("g", i, i % 3 == 0, str(i % 4), *(random.choice([None, None, "v"]) for _ in names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, row long, trusted boolean, run string, " + ", ".join(f"{n} string" for n in names))
+    got = best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), names).first()
+    order = sorted(rows, key=lambda r: (r[2], r[3], -r[1]), reverse=True)
+    assert got["survivor"] == order[0][1]
+    assert all((got[n]["donor"], got[n]["layer"]) == next(((r[1], 1) for r in order if r[4 + i]), (None, None)) for i, n in enumerate(names))
+
+
 def test_empty_and_wrong(spark):
     assert represent(spark, []) == {}
     df = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
-        best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), ["a"] * (MOST_FIELDS + 1))
+        best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), ["a"] * (MOST_FIELDS + 1), completeness="count")
+    with pytest.raises(ValueError):
+        best_representatives(df, ["k"], "row", F.col("trusted"), F.col("run"), [])
 
 
 def test_names(spark):
