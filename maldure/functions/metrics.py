@@ -147,20 +147,32 @@ def edit_ops(u: pd.Series, v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(edit_counts([empty(x) for x in u], [empty(x) for x in v]), columns=EDIT_OPS.names)
 
 
-def counts(name: str, prediction: Column, reference: Column) -> Column:
-    """Hits, substitutions, deletions and insertions of ``wer``, ``cer`` or ``jer``.
+def measured(name: str, prediction: Column, reference: Column, tokenizer: Callable[[str], Sequence[str]] | None = None) -> Column:
+    """Rate, hits, substitutions, deletions and insertions of ``wer``, ``cer``, ``jer`` or (with a tokenizer) ``mer``, by one comparison.
 
     Words are compared from the reference to the prediction, so that ``wer``'s insertions and deletions are
     the other way round than those of the others, and its hits are counted in the prediction.
     """
     if name == "wer":
         both = coded_words(prediction, reference)
-        u, v = both.r, both.p
-        ops = edit_ops(u, v)
-        return F.struct((F.length(v) - ops.substitutions - ops.insertions).alias("hits"), ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"))
-    u, v = (prediction, reference) if name == "cer" else (jamo(prediction), jamo(reference))
+        u, v, total, other = both.r, both.p, F.length(both.r), F.length(both.p)
+    else:
+        u, v = (prediction, reference) if name == "cer" else (jamo(prediction), jamo(reference))
+        if name == "mer":
+            both = coded(prediction, reference, tokenizer)
+            u, v = both.p, both.r
+        total, other = F.length(v), F.length(u)
     ops = edit_ops(u, v)
-    return F.struct((F.length(v) - ops.substitutions - ops.insertions).alias("hits"), ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"))
+    return F.struct(
+        rate(ops.distance, total, other).alias("rate"), (F.length(v) - ops.substitutions - ops.insertions).alias("hits"),
+        ops.substitutions.alias("substitutions"), ops.insertions.alias("deletions"), ops.deletions.alias("insertions"),
+    )
+
+
+def counts(name: str, prediction: Column, reference: Column) -> Column:
+    """Hits, substitutions, deletions and insertions, as ``measured`` has them."""
+    own = measured(name, prediction, reference)
+    return F.struct(*[own[x].alias(x) for x in ("hits", "substitutions", "deletions", "insertions")])
 
 
 RATES: dict[str, Callable[[Column, Column], Column]] = {"wer": wer, "cer": cer, "jer": jer, "ser": ser}

@@ -125,10 +125,15 @@ def summary(rows: DataFrame) -> DataFrame:
     return own.select("rows", "models", "slices", F.col("best.cer").alias("best_cer"), F.col("best.model").alias("best_model"), F.col("best.label").alias("best_label"))
 
 
-def markdown_table(rows: DataFrame, columns: Sequence[str] = ("model", "dataset", "subset", "wer", "cer", "mer", "jer", "ser", "rtf", "latency", "gpu", "run_id")) -> DataFrame:
-    """The board's rows as lines of a Markdown table, in order of error rate. Columns: place, line."""
-    cells = [F.when(metric(c).isNull(), "").otherwise(F.format_string("%.4f", metric(c))) if c in BOARD_METRICS else F.coalesce(F.col(c), F.lit("")) for c in columns]
+def markdown_table(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The board's rows as lines of a Markdown table, in order of error rate. Columns: place, line. ``outliers`` is a column of counts."""
     counts = F.concat(F.coalesce("outlier_count", F.lit(0)).cast("string"), F.lit(" / "), F.coalesce("evaluated_samples", "total_samples", F.lit(0)).cast("string"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells, counts), F.lit(" |"))
+
+    def cell(name: str) -> Column:
+        if name == "outliers":
+            return counts
+        return F.when(metric(name).isNull(), "").otherwise(F.format_string("%.4f", metric(name))) if name in BOARD_METRICS else F.coalesce(F.col(name), F.lit(""))
+
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
     own = rows.select(metric("cer").alias("_c"), F.col("entry_id"), line.alias("line"))
     return ranked(own, [F.asc_nulls_last("_c"), F.col("entry_id").asc()], "place").select("place", "line")

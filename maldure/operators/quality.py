@@ -77,6 +77,24 @@ def validate_json(rows: DataFrame, key: str, raw: str) -> DataFrame:
     return parsed.select(key, F.explode("p").alias("problem"))
 
 
+# Suffixes of files that aren't searched.
+BINARY = r"\.(png|jpe?g|gif|ico|pdf|zip|gz|wav|pcm|flac|parquet|pyc)$"
+
+
+def find_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Every match of a secret or local-path pattern, with where it begins. Columns: keys, rule, start (from 0), match."""
+    patterns = {**SECRETS, **LOCAL_PATHS}
+    likely = F.col(text).rlike("|".join(f"(?:{p})" for p in patterns.values()))
+
+    def spots(name: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        # matches don't overlap and come in order: each is looked for behind the one before
+        none = F.array().cast("array<struct<rule: string, start: int, match: string>>")
+        behind = lambda done: F.when(F.size(done) > 0, F.element_at(done, -1)["start"] + F.length(F.element_at(done, -1)["match"])).otherwise(0)
+        add = lambda done, x: F.concat(done, F.array(F.struct(F.lit(name).alias("rule"), (F.call_function("locate", x, F.col(text), behind(done) + 1) - 1).alias("start"), x.alias("match"))))
+        return F.aggregate(found, none, add)
+
+    return df.where(likely).select(*keys, F.explode(F.concat(*[spots(n, p) for n, p in patterns.items()])).alias("m")).select(*keys, "m.*")
 
 
 def scan_texts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,6 +12,7 @@ from maldure.operators import leaderboard as L
 from maldure.operators import quality as Q
 from maldure.plans import q_text  # noqa: F401  (its SQL is used here)
 from maldure.plans.registry import SQL, query, rounded
+from maldure.sources.sinks import HEADINGS
 from maldure.tables import load
 
 
@@ -170,15 +171,17 @@ def board_default_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.default_subset(_rows(spark, sf_dir))
 
 
-_CELLS = " || ' | ' || ".join([*(f"coalesce({c}, '')" for c in ("model", "dataset", "subset")), *(f"coalesce(printf('%.4f', metrics.macro.{m}), '')" for m in ("wer", "cer", "mer", "jer", "ser", "rtf", "latency")), "coalesce(gpu, '')", "coalesce(run_id, '')"])
+_CELLS = " || ' | ' || ".join([
+    *(f"coalesce({c}, '')" for c in ("model", "dataset", "subset")), *(f"coalesce(printf('%.4f', metrics.macro.{m}), '')" for m in ("wer", "cer", "mer", "jer", "ser", "rtf", "latency")),
+    "coalesce(gpu, '')", "coalesce(outlier_count, 0) || ' / ' || coalesce(evaluated_samples, total_samples, 0)", "coalesce(run_id, '')",
+])
 
 
 @query(f"""
-SELECT row_number() OVER (ORDER BY metrics.macro.cer NULLS LAST, entry_id) AS place,
-  '| ' || {_CELLS} || ' | ' || coalesce(outlier_count, 0) || ' / ' || coalesce(evaluated_samples, total_samples, 0) || ' |' AS line FROM leaderboard_rows WHERE coalesce(is_full_evaluation, false)
+SELECT row_number() OVER (ORDER BY metrics.macro.cer NULLS LAST, entry_id) AS place, '| ' || {_CELLS} || ' |' AS line FROM leaderboard_rows WHERE coalesce(is_full_evaluation, false)
 """)
 def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.markdown_table(_rows(spark, sf_dir).where(L.is_full()))
+    return L.markdown_table(_rows(spark, sf_dir).where(L.is_full()), tuple(HEADINGS))
 
 
 _RULES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,22 +47,8 @@ def scan_manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_manifest(spark, folder, "").drop("duration")
 
 
-# Examples of alias columns.
-_ALIASES = (("a.wav", None, None, "하나", None), ("", "b.wav", None, "", "둘"), (None, None, "/abs/c.flac", None, None), ("", "", "d.pcm", None, ""))
-
-
-@query("""
-SELECT CASE WHEN p LIKE '/%' THEN p ELSE '/data/' || p END AS audio_path, coalesce(nullif(t, ''), nullif(s, ''), '') AS text FROM (
-  SELECT coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')) AS p, t, s FROM (VALUES ('a.wav', NULL, NULL, '하나', NULL), ('', 'b.wav', NULL, '', '둘'), (NULL, NULL, '/abs/c.flac', NULL, NULL), ('', '', 'd.pcm', NULL, '')) v(a, b, c, t, s))
-""")
-def manifest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The examples only; manifest_alias_all has the table's records."""
-    rows = spark.createDataFrame([dict(zip(("audio_path", "audio_filepath", "path", "text", "transcript"), x)) for x in _ALIASES], files.MANIFEST)
-    return files.with_aliases(rows, "/data").select("audio_path", "text")
-
-
 @query()
-def manifest_alias_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manifest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of manifest_lines that loads (p2_found has the others), under its own file's column names.
 
     Without SQL, which can't take quoted records apart; tested against a plain Python version.
@@ -89,46 +76,75 @@ def scan_trn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_transcripts(spark.read.text(folder))
 
 
-_SUM = " + ".join(f"(ascii(substr(d, {2 * i + 1}, 1)) + 256 * ascii(substr(d, {2 * i + 2}, 1))) / 32768.0::DOUBLE" for i in range(4))
+#: 24 bytes of every row, some of them above 127: a hash and half of it.
+_BYTES = "SELECT row_id, md5(CAST(row_id AS VARCHAR)) || substr(md5(CAST(row_id AS VARCHAR)), 1, 16) AS h FROM sample_results"
 
 
-def _digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "sample_results").select("row_id", F.encode(F.lpad(F.col("row_id").cast("string"), 8, "0"), "US-ASCII").alias("data"))
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.md5(F.col("row_id").cast("string"))
+    return load(spark, sf_dir, "sample_results").select("row_id", F.unhex(F.concat(own, F.substring(own, 1, 16))).alias("data"))
 
 
 def _total(samples) -> F.Column:
     return F.round(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double")), 9).alias("total")
 
 
-@query(f"SELECT row_id, 4 AS n, round({_SUM}, 9) AS total FROM (SELECT row_id, lpad(CAST(row_id AS VARCHAR), 8, '0') AS d FROM sample_results)")
+def _sample(i: int, width: int) -> str:
+    """SQL: the i-th little-endian sample of ``width`` bytes, between -1 and 1; of one byte unsigned."""
+    value = " + ".join(f"('0x' || substr(h, {2 * (i * width + k) + 1}, 2))::BIGINT * {256**k}" for k in range(width))
+    if width == 1:
+        return f"(({value}) - 128) / 128.0"
+    half = 256**width // 2
+    signed = f"(CASE WHEN {value} >= {half} THEN {value} - {2 * half} ELSE {value} END)"
+    return f"{signed}::FLOAT::DOUBLE / {half}.0" if width == 4 else f"{signed} / {half}.0"
+
+
+def _samples(width: int, n: int, channels: int = 1) -> str:
+    return f"round(({' + '.join(_sample(i, width) for i in range(n))}) / {channels}.0::DOUBLE, 9)"
+
+
+@query(f"SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 12 ELSE 11 END AS n, CASE WHEN row_id % 2 = 0 THEN {_samples(2, 12)} ELSE {_samples(2, 11)} END AS total FROM ({_BYTES})")
 def pcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight bytes of every row as four samples."""
-    return _digits(spark, sf_dir).select("row_id", audio.pcm_decode("data").alias("s")).select("row_id", F.size("s").alias("n"), _total(F.col("s")))
+    """24 bytes of every row as samples; of odd rows 23, whose last byte is left out."""
+    rows = _bytes(spark, sf_dir).withColumn("data", F.when(F.col("row_id") % 2 == 0, F.col("data")).otherwise(F.substring("data", 1, 23)))
+    return rows.select("row_id", audio.pcm_decode("data").alias("s")).select("row_id", F.size("s").alias("n"), _total(F.col("s")))
 
 
-#: The header of a mono WAV file of 8 kHz and 16 bits with eight bytes of samples.
-_WAV = "524946462c00000057415645666d74201000000001000100401f0000803e0000020010006461746108000000"
+#: Bytes a sample and channels.
+_FORMATS = ((1, 1), (2, 1), (3, 1), (4, 1), (1, 2), (2, 2))
 
 
-@query(f"SELECT row_id, 8000 AS sample_rate, 4 AS n, round({_SUM}, 9) AS total FROM (SELECT row_id, lpad(CAST(row_id AS VARCHAR), 8, '0') AS d FROM sample_results)")
-def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bytes inside of a WAV file."""
-    rows = _digits(spark, sf_dir).select("row_id", audio.wav_decode(F.concat(F.unhex(F.lit(_WAV)), "data")).alias("w"))
-    return rows.select("row_id", "w.sample_rate", F.size("w.samples").alias("n"), _total(F.col("w.samples")))
+def _header(width: int, channels: int, rate: int = 8000, size: int = 24) -> str:
+    """The header of a WAV file, in hexadecimal digits."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, channels, rate, rate * width * channels, width * channels, 8 * width, b"data", size).hex()
+
 
+_WAV_N = " ".join(f"WHEN {k} THEN {24 // (w * c)}" for k, (w, c) in enumerate(_FORMATS))
+_WAV_TOTAL = " ".join(f"WHEN {k} THEN {_samples(w, 24 // w, c)}" for k, (w, c) in enumerate(_FORMATS))
 
-@query("SELECT row_id, CAST(greatest(1, 2 * n) AS INT) AS n, 0.0::DOUBLE AS first, CAST(n - 1 AS DOUBLE) AS last FROM (SELECT row_id, row_id % 50 + 1 AS n FROM sample_results)")
-def resample_linear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ramp of every row from 8 kHz to 16 kHz."""
-    ramp = F.transform(F.sequence(F.lit(0), (F.col("row_id") % 50).cast("int")), lambda x: x.cast("float"))
-    rows = load(spark, sf_dir, "sample_results").select("row_id", audio.resample_linear(ramp, F.lit(8000), F.lit(16000)).alias("s"))
-    return rows.select("row_id", F.size("s").alias("n"), F.element_at("s", 1).cast("double").alias("first"), F.element_at("s", -1).cast("double").alias("last"))
 
+@query(f"SELECT row_id, 8000 AS sample_rate, CASE row_id % 6 {_WAV_N} END AS n, CASE row_id % 6 {_WAV_TOTAL} END AS total FROM ({_BYTES})")
+def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bytes inside of WAV files of 8, 16, 24 and 32 bits, and of two channels."""
+    headers = F.array(*[F.unhex(F.lit(_header(*x))) for x in _FORMATS])
+    rows = _bytes(spark, sf_dir).select("row_id", audio.wav_decode(F.concat(headers[(F.col("row_id") % len(_FORMATS)).cast("int")], "data")).alias("w"))
+    return rows.select("row_id", "w.sample_rate", F.size("w.samples").alias("n"), _total(F.col("w.samples")))
 
-@query("SELECT row_id, CAST(greatest(1, 2 * n) AS INT) AS n, 0.0::DOUBLE AS first, CAST(n - 1 AS DOUBLE) AS last FROM (SELECT row_id, row_id % 50 + 1 AS n FROM sample_results) WHERE n > 1")
+
+@query("""
+WITH wave AS (SELECT row_id, CAST(row_id % 50 + 1 AS INT) AS len, CASE WHEN row_id % 3 = 0 THEN 8000 ELSE 16000 END AS rate, CASE WHEN row_id % 3 = 0 THEN 16000 ELSE 8000 END AS target FROM sample_results),
+sized AS (SELECT row_id, len, CAST(greatest(1, round_even(len / rate::DOUBLE * target, 0)) AS INT) AS n FROM wave),
+spots AS (SELECT row_id, len, unnest(generate_series(0, n - 1)) AS place, n FROM sized),
+near AS (SELECT row_id, place, len, place * (len / n::DOUBLE) AS x FROM spots)
+SELECT row_id, CAST(place AS INT) AS place,
+  round(least(floor(x), len - 1) ^ 2 % 7 + (least(x, len - 1) - least(floor(x), len - 1)) * (least(floor(x) + 1, len - 1) ^ 2 % 7 - least(floor(x), len - 1) ^ 2 % 7), 4) AS value FROM near
+""")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the ramps of one sample, which this SQL leaves out; resample_linear_all has them."""
-    return resample_linear_all(spark, sf_dir).where("row_id % 50 > 0")
+    """Every sample of a wave of 1 to 50 samples per row, from 8 to 16 kHz and from 16 to 8 kHz."""
+    wave = F.transform(F.sequence(F.lit(0), (F.col("row_id") % 50).cast("int")), lambda x: (x * x % 7).cast("float"))
+    up = F.col("row_id") % 3 == 0
+    rows = load(spark, sf_dir, "sample_results").select("row_id", audio.resample_linear(wave, F.when(up, 8000).otherwise(16000), F.when(up, 16000).otherwise(8000)).alias("s"))
+    return rows.select("row_id", F.posexplode("s").alias("place", "v")).select("row_id", "place", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
 @query("SELECT * FROM (VALUES ('mock-0001', '안녕하세요 테스트입니다', 16000, 16000), ('mock-0002', '오늘 날씨가 좋습니다', 16000, 16000), ('mock-0003', 'hello korean asr', 16000, 16000)) t(sample_id, text, n, sample_rate)")
@@ -233,6 +249,32 @@ def job_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.with_commands(runs).drop("command")
 
 
+@query("""
+SELECT DISTINCT model_name AS model, dataset_name AS dataset, dataset_subset AS subset,
+  'python -m maldure.cli evaluate --dataset_name ' || dataset_name || ' --dataset_rootpath ' || CASE dataset_name WHEN 'KsponSpeech' THEN '$KSPON_ROOT' WHEN 'AIHubLowQualityTelephone' THEN '$AIHUB_TELEPHONE_ROOT' ELSE '$DATASET_ROOT' END
+  || coalesce(' --dataset_subset ' || dataset_subset, '') || ' --model_name ' || model_name || ' --batch_size '
+  || CASE WHEN contains(lower(model_name), 'whisper') THEN '8' WHEN contains(lower(model_name), 'qwen3_asr') OR contains(lower(model_name), 'qwen3-asr') THEN '32' ELSE '1' END
+  || ' --normalization_preset kspon --warmup_samples 1 --log_outliers' AS command
+FROM runs
+""")
+def job_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line of each job; the command line's own parser takes it."""
+    runs = load(spark, sf_dir, "runs").select(F.col("model_name").alias("model"), F.col("dataset_name").alias("dataset"), F.col("dataset_subset").alias("subset")).distinct()
+    return J.with_commands(runs).drop("batch_size")
+
+
+_RATES = ", ".join(f"CASE WHEN isfinite(metrics.{m}) THEN metrics.{m} END AS {m}" for m in sinks.CSV_METRICS)
+
+
+@query(f"SELECT sample_index AS index, sample_id, reference, prediction, normalized_reference, normalized_prediction, is_outlier, {_RATES} FROM sample_results")
+def write_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples written as predictions.csv and read again."""
+    folder = _folder(spark)
+    rows = sinks.predictions(load(spark, sf_dir, "sample_results").withColumnRenamed("sample_index", "index"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+
+
 @query()
 def error_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differing blocks of all samples. Longest-match comparison has no SQL; tested against plain Python."""
@@ -261,6 +303,13 @@ def stream_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS samples FROM (SELECT DISTINCT run_id, sample_index FROM sample_results)")
 def stream_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many samples are left of a stream without its resends; the delay covers the whole table here."""
+    """How many samples are left of a stream without its resends."""
     rows = _stream(spark, sf_dir).select("run_id", "sample_index", F.col("ingested_at").cast("timestamp").alias("ingested_at"))
-    return _finished(spark, rollup.without_resends(rows, delay="3650 days"), "append").agg(F.count(F.lit(1)).alias("samples"))
+    return _finished(spark, rollup.without_resends(rows), "append").agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query("SELECT date_trunc('hour', finished_at)::TIMESTAMP AS starts, count(*) AS samples, count(*) FILTER (WHERE is_outlier) AS outliers FROM sample_results WHERE finished_at IS NOT NULL GROUP BY 1")
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and outliers per hour of finishing, as a stream makes them; nothing is late in one batch."""
+    got = _finished(spark, rollup.arrivals(_stream(spark, sf_dir)), "complete")
+    return got.select(F.col("starts").cast("timestamp_ntz").alias("starts"), "samples", "outliers")

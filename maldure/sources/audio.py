@@ -42,11 +42,11 @@ def wav_samples(data: bytes) -> tuple[np.ndarray, int] | None:
 
 
 def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation to another rate; at least one sample of a non-empty signal."""
+    """Linear interpolation to another rate; at least one sample of a non-empty signal. Both signals' times begin at 0 and end before their length."""
     if rate == target or not len(samples):
         return samples
     n = max(1, round(len(samples) / rate * target))
-    return np.interp(np.linspace(0, len(samples) - 1, n), np.arange(len(samples)), samples).astype("float32")
+    return np.interp(np.arange(n) * (len(samples) / n), np.arange(len(samples)), samples).astype("float32")
 
 
 def read_samples(path: str) -> tuple[np.ndarray, int | None]:

@@ -21,6 +21,13 @@ BOARD_ROW = (
     "is_full_evaluation boolean, outlier_policy struct<metric: string, threshold: double>, command string, source string, "
     "aggregation struct<subsets: array<string>, source_run_ids: array<string>>"
 )
+#: The row that an evaluation writes.
+RUN_ROW = (
+    "run_id string, model string, model_repo string, dataset string, subset string, gpu string, torch string, cuda string, dataset_total_samples bigint, evaluated_samples bigint, "
+    "is_full_evaluation boolean, outlier_policy struct<metric: string, threshold: double>, command string, "
+    f"metrics struct<macro: {RATES}, micro: {ERRORS}, latency_percentiles: {PERCENTILES}>, "
+    "model_metrics struct<flops: string, macs: string, params: string, total_parameters: bigint, trainable_parameters: bigint>, total_samples bigint, valid_samples bigint, outlier_count bigint"
+)
 _EDITS = ", ".join(f"{m}_{x}: bigint" for m in ("wer", "cer", "mer", "jer") for x in ("hits", "substitutions", "deletions", "insertions"))
 SAMPLE = (
     "index int, sample_id string, reference string, prediction string, normalized_reference string, normalized_prediction string, "
@@ -83,10 +90,11 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of board rows; an absent file has no rows, anything but an array of objects is an error."""
     import json
 
-    if not os.path.exists(path):
+    from maldure.sources.sinks import exists, read_text
+
+    if not exists(spark, path):
         return spark.createDataFrame([], BOARD_ROW)
-    with open(path, encoding="utf-8") as file:
-        held = json.load(file)
+    held = json.loads(read_text(spark, path))
     if not isinstance(held, list) or not all(isinstance(x, dict) for x in held):
         raise ValueError(f"{path} isn't a list of objects")
     return spark.read.schema(BOARD_ROW).option("multiLine", True).json(path).withColumn("artifact", F.lit(path))

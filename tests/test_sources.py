@@ -115,7 +115,10 @@ def test_mock_evaluation_and_run_folder(spark, tmp_path):
     (tmp_path / "old/samples.jsonl").write_text('{"index": 1, "sample_id": "x"}\n')
     assert files.read_samples(spark, str(tmp_path)).count() == 4
     assert json.loads((tmp_path / "run/summary.json").read_text())["leaderboard_row"]["run_id"] == "r"
-    assert spark.read.option("header", True).csv(str(tmp_path / "run/predictions.csv")).columns == list(sinks.CSV_COLUMNS)
+    header = "index,sample_id,reference,prediction,normalized_reference,normalized_prediction,is_outlier,wer,cer,mer,jer,ser,rtf,latency".split(",")
+    assert spark.read.option("header", True).csv(str(tmp_path / "run/predictions.csv")).columns == header
+    analysis = [json.loads(x) for p in (tmp_path / "run/error_analysis.jsonl").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(analysis) == 3 and all(set(a) == {"index", "sample_id", "metrics", "word_ops", "char_ops"} and a["word_ops"] == [] and set(a["metrics"]) == {"wer", "cer", "mer", "jer", "ser"} for a in analysis)
     with pytest.raises(ValueError):
         I.transcribe(files.mock_rows(spark), "no such model")
 
@@ -131,7 +134,10 @@ def test_page(spark, tmp_path):
     assert (held["row_count"], held["full_run_count"]) == (2, 1)
     assert [r["run_id"] for r in json.loads((tmp_path / "leaderboard.json").read_text())] == ["b", "a"]
     lines = (tmp_path / "leaderboard.md").read_text().splitlines()
-    assert len(lines) == 4 and lines[1].startswith("| :-- |") and "0.2000" in lines[2]
+    assert lines[4] == "| Model | Dataset | Subset | WER | CER | MER | JER | SER | RTFx | Latency(s) | GPU | Outliers | Run |"
+    assert lines[5] == "| :-- | :-- | :-- | --: | --: | --: | --: | --: | --: | --: | :-- | --: | :-- |" and len(lines) == 8 and "0.2000" in lines[6]
+    sinks.write_board(rows.limit(0), str(tmp_path / "none"))
+    assert (tmp_path / "none/leaderboard.md").read_text().splitlines()[-1] == "| _No runs yet_ |  |  |  |  |  |  |  |  |  |  |  |  |"
 
 
 def test_json_has_no_infinite_numbers(spark):
@@ -148,6 +154,55 @@ def test_jobs(spark):
     assert "--dataset_rootpath $AIHUB_TELEPHONE_ROOT --dataset_subset D01" in left[0]["command"] and "--log_outliers" in left[0]["command"] and "--dataset_subset" not in left[1]["command"]
 
 
+def test_every_command_is_understood(spark, tmp_path):
+    """The commands of all jobs, by the command line's own parser."""
+    import shlex
+
+    from maldure.cli import parser
+
+    models = spark.createDataFrame([("qwen3_asr_0_6b",), ("whisper_tiny",)], "model string")
+    slices = spark.createDataFrame([("AIHubLowQualityTelephone", "D01"), ("X", None)], "dataset string, subset string")
+    for r in J.with_commands(J.job_matrix(models, slices)).collect():
+        words = shlex.split(r["command"])
+        assert words[:3] == ["python", "-m", "maldure.cli"]
+        args = parser().parse_args(words[3:])
+        assert (args.model_name, args.dataset_name, args.dataset_subset, args.batch_size, args.warmup_samples, args.log_outliers) == (r["model"], r["dataset"], r["subset"], r["batch_size"], 1, True)
+
+
+def test_running_jobs():
+    listed = [{"model": m, "dataset": "d", "subset": "s", "arguments": ["evaluate", m]} for m in "abc"]
+    ran, said = [], []
+    assert J.run_jobs(listed, lambda x: ran.append(x), {("b", "d", "s")}, say=said.append) == 2 and ran == [["evaluate", "a"], ["evaluate", "c"]]
+    assert said[0] == "3 jobs" and "done" in said[2] and J.run_jobs(listed, ran.append, dry=True, say=said.append) == 0 and len(ran) == 2
+    with pytest.raises(RuntimeError, match="job 1"):
+        J.run_jobs(listed, lambda x: 1, say=said.append)
+
+
+def test_zip_pairs_are_split(spark, tmp_path):
+    import zipfile
+
+    from maldure.sources.zip_pairs import ZipPairs
+
+    for domain, n in (("D01", 7), ("D02", 0)):
+        with zipfile.ZipFile(tmp_path / f"VL_{domain}.zip", "w") as labels, zipfile.ZipFile(tmp_path / f"VS_{domain}.zip", "w") as sounds:
+            for i in range(n):
+                labels.writestr(f"{domain}/{i:04}.txt", f"text {i}")
+                sounds.writestr(f"{domain}/{i:04}.wav", b"RIFF")
+    spark.dataSource.register(ZipPairs)
+    one = spark.read.format("zip_pairs").option("domains", "D01").option("members", "3").load(str(tmp_path))
+    assert one.rdd.getNumPartitions() == 3
+    assert [(r["number"], r["id"], r["text"], r["audio"]) for r in one.orderBy("number").collect()] == [(i, f"D01/{i:04}", f"text {i}", None) for i in range(7)]
+    assert spark.read.format("zip_pairs").option("domains", "D02").load(str(tmp_path)).count() == 0
+
+
+def test_matches_with_their_places(spark):
+    from maldure.operators.quality import find_texts
+
+    text = "x /mnt/c/ and /mnt/c/ ghp_" + "a" * 24
+    got = find_texts(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "k int, t string"), ["k"], "t").collect()
+    assert sorted((r["k"], r["rule"], r["start"], r["match"]) for r in got) == [(1, "github", 22, "ghp_" + "a" * 24), (1, "mount", 2, "/mnt/c/"), (1, "mount", 14, "/mnt/c/")]
+
+
 def test_error_blocks(spark):
     pairs = [("a b c", "a x c d"), ("", "x"), ("same", "same"), ("x " * 250, "y x " * 250)]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, p string")
@@ -170,13 +225,16 @@ def test_streams(spark, tmp_path):
     assert sorted(r[0] for r in spark.table("single").collect()) == ["a", "b"]
 
 
-def test_every_row_is_resampled(spark, tmp_path):
-    """A ramp of one sample (row_id 0, 50, ...) too."""
-    from maldure.plans.registry import QUERIES
+def test_resampling_keeps_the_times():
+    """Both signals begin at the same time and end before the same time; one sample and none stay what they are."""
+    import numpy as np
+
+    from maldure.sources.audio import resampled
 
-    spark.range(101).select(F.col("id").alias("row_id")).write.parquet(str(tmp_path / "sample_results.parquet"))
-    got = {r["row_id"]: (r["n"], r["first"], r["last"]) for r in QUERIES["resample_linear_all"](spark, str(tmp_path)).collect()}
-    assert got == {i: (2 * (i % 50 + 1), 0.0, float(i % 50)) for i in range(101)}
+    assert resampled(np.array([0, 1, 2, 3], "float32"), 8000, 16000).tolist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3]
+    assert resampled(np.arange(6, dtype="float32"), 16000, 8000).tolist() == [0, 2, 4]
+    assert resampled(np.array([5], "float32"), 8000, 16000).tolist() == [5, 5] and resampled(np.array([5], "float32"), 16000, 8000).tolist() == [5]
+    assert resampled(np.array([], "float32"), 8000, 16000).tolist() == [] and resampled(np.arange(3, dtype="float32"), 16000, 8000).tolist() == [0, 1.5]
 
 
 def test_aliases_of_every_record(spark, tmp_path):
@@ -193,7 +251,7 @@ def test_aliases_of_every_record(spark, tmp_path):
     ]
     spark.createDataFrame(listed, "file_name string, fmt string, header_columns array<string>, n_columns int, default_sample_rate int").write.parquet(str(tmp_path / "manifest_files.parquet"))
     spark.createDataFrame([(i, f, r) for i, (f, r) in enumerate(lines)], "line_id long, file_name string, raw_line string").write.parquet(str(tmp_path / "manifest_lines.parquet"))
-    got = {r["line_id"]: (r["audio_path"], r["text"]) for r in QUERIES["manifest_alias_all"](spark, str(tmp_path)).collect()}
+    got = {r["line_id"]: (r["audio_path"], r["text"]) for r in QUERIES["manifest_alias"](spark, str(tmp_path)).collect()}
     headers = {f: h for f, _, h, *_ in listed}
     want = {}
     for i in (0, 1, 4, 5, 6, 7):
