@@ -266,12 +266,15 @@ def job_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATES = ", ".join(f"CASE WHEN isfinite(metrics.{m}) THEN metrics.{m} END AS {m}" for m in sinks.CSV_METRICS)
 
 
-@query(f"SELECT sample_index AS index, sample_id, reference, prediction, normalized_reference, normalized_prediction, is_outlier, {_RATES} FROM sample_results")
+_NULLED = ", ".join(f"nullif({c}, '') AS {c}" for c in ("sample_id", *sinks.TEXT_COLUMNS))
+
+
+@query(f"SELECT sample_index AS index, {_NULLED}, is_outlier, {_RATES} FROM sample_results")
 def write_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples written as predictions.csv and read again."""
+    """All samples written as predictions.csv and read again; an empty text and none are the same there."""
     folder = _folder(spark)
     rows = sinks.predictions(load(spark, sf_dir, "sample_results").withColumnRenamed("sample_index", "index"))
-    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    rows.write.options(**sinks.CSV).csv(folder)
     return spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
 
 
