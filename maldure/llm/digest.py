@@ -7,9 +7,8 @@ are merged by clustering their clusters again. Since clusters keep their ends, a
 strictly; a second pass over the values counts what lies below that bracket and inside it, which certifies the rank
 error of the estimate and, with the few distinct values inside the bracket, gives the exact percentile.
 
-Scale: a group is spread over as many parts as its count asks for. Parts' digests are merged in a tree, each node by a
-stream that holds one digest; none is collected. The counting pass joins one row per group and part, and reads each value
-once. Equal values are counted together; the values inside a bracket are a fixed small share of the distinct values, and
+Scale: each task makes digests of what it holds, and these are merged in a tree, each node by a stream that holds one
+digest; none is collected. The counting pass joins one row per group and reads each value once. Equal values are counted together; the values inside a bracket are a fixed small share of the distinct values, and
 are added up over range partitions, so no task sorts a group.
 """
 
@@ -28,9 +27,9 @@ from maldure.tables import checkpoint, small
 PERCENTS = (0.5, 0.9, 0.95, 0.99)
 #: Clusters per digest are at most about this many.
 COMPRESSION = 400
-#: A group has a part for each so many of its values.
+#: A group that is shuffled as a whole has a part for each so many of its rows.
 PART_ROWS = 500_000
-#: Digests that one node of the tree merges, at most, where parts are numbered.
+#: Nodes of a tree's first level.
 FAN = 64
 #: Values buffered in a task before they are clustered.
 BUFFER = 500_000
@@ -194,13 +193,16 @@ def merge_digests(parts: DataFrame, keys: Sequence[str], compression: int = COMP
     return parts.select(*keys, *DIGEST_FIELDS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def merge_parts(parts: DataFrame, keys: Sequence[str], part: str, width: int, compression: int = COMPRESSION) -> DataFrame:
-    """One digest per group of numbered parts (from 0, below ``width``): a tree in which no node has more than FAN of them."""
-    while width > 1:
-        width = -(-width // FAN)
-        parts = parts.withColumn(part, F.floor(F.col(part) / FAN).cast("int"))
-        parts = merge_digests(parts, [*keys, part], compression)
-    return parts.drop(part)
+def group_digests(rows: DataFrame, keys: Sequence[str], value: str, compression: int = COMPRESSION, tasks: int | None = None) -> DataFrame:
+    """One digest per group, from what each task holds of it, wherever its rows are. tasks: how many there are, if that is known.
+
+    Of more than FAN tasks the digests are first merged in FAN nodes.
+    """
+    keys = list(keys)
+    if tasks is not None and tasks <= FAN:
+        return merge_digests(partial_digests(rows, keys, value, compression), keys, compression)
+    parts = partial_digests(rows.withColumn("_node", F.pmod(F.spark_partition_id(), F.lit(FAN))), [*keys, "_node"], value, compression)
+    return merge_digests(merge_digests(parts, [*keys, "_node"], compression), keys, compression)
 
 
 def brackets(digests: DataFrame, keys: Sequence[str], percents: Sequence[float] = PERCENTS) -> DataFrame:
@@ -251,39 +253,23 @@ def spread(rows: DataFrame, keys: Sequence[str], salt: Column, part_rows: int =
     return own.withColumn("_part", F.pmod(F.xxhash64(salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts"), width
 
 
-def certified_percentiles(values: DataFrame, keys: Sequence[str], value: str, salt: str, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION, part_rows: int = PART_ROWS) -> DataFrame:
+def certified_percentiles(values: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION, tasks: int | None = None) -> DataFrame:
     """Percentiles of ``value`` for each group of ``keys``, exact by linear interpolation, with the digest's certificate.
 
-    values: one row per measurement; ``salt`` is a column that differs between the rows of a group (it spreads a hot
-    group). Nulls, NaN and infinities are left out; a group without a finite value has no row; null keys form a group.
-    Columns: keys, q, n, estimate (by the merged digest alone), exact, rank_error (how many ranks the estimate is off at
-    most, by the counting pass) and bracket_rows (values inside the bracket, which were sorted).
+    values: one row per measurement, spread as they are; they aren't shuffled, but read three times, so pass a checkpoint of
+    what is dear to compute (and its number of tasks). Nulls, NaN and infinities are left out; a group without a finite value has
+    no row; null keys form a group. Columns: keys, q, n, estimate (by the merged digest alone), exact, rank_error (how many ranks
+    the estimate is off at most, by the counting pass) and bracket_rows (values inside the bracket, which were sorted).
     """
     keys = list(keys)
-    rows, width = spread(values.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"), F.col(salt).alias("_salt")), keys, F.col("_salt"), part_rows)
-    return percentiles_of_spread(rows.drop("_salt").repartition(*keys, "_part"), keys, width, percents, compression)
-
-
-def percentiles_of_spread(rows: DataFrame, keys: Sequence[str], width: int, percents: Sequence[float] = PERCENTS, compression: int = COMPRESSION) -> DataFrame:
-    """As certified_percentiles, for rows (keys, _v, _part) that are already partitioned by keys and _part (below ``width``)."""
-    keys = list(keys)
-    parts = partial_digests(rows, [*keys, "_part"], "_v", compression)
-    if width > 1:
-        parts = checkpoint(parts)
-    known = brackets(merge_parts(parts, keys, "_part", width, compression), keys, percents)
-    if width > 1:
-        ends = parts.groupBy(*keys).agg(F.max("_part").alias("_last"))
-        known = known.join(_renamed(ends, keys, "_e"), _equal(keys, "_e")).drop(*[f"_e{i}" for i in range(len(keys))]).withColumn("_kp", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
-    else:
-        known = known.withColumn("_kp", F.lit(0))
-    known = checkpoint(known)
-    joined = rows.join(small(_renamed(known, keys), written=True), _equal(keys) & (F.col("_part") == F.col("_kp")))
+    rows = values.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"))
+    known = checkpoint(brackets(group_digests(rows, keys, "_v", compression, tasks), keys, percents))
+    joined = rows.join(small(_renamed(known, keys), written=True), _equal(keys))
     # the counting pass: what lies below each bracket and its estimate, and how often each value inside of one occurs
     v, at = F.col("_v"), lambda i: F.col("at")[i]
     tally = lambda i: F.struct(F.count_if(v < at(i)["low"]).alias("below"), F.count_if(v < at(i)["estimate"]).alias("under"), F.count_if(v <= at(i)["estimate"]).alias("upto"))
     counts = joined.groupBy(*keys).agg(F.array(*[tally(i) for i in range(len(percents))]).alias("counts"))
-    first = known.where("_kp = 0").drop("_kp")
-    facts = counts.join(_renamed(first, keys), _equal(keys)).select(*keys, "n", F.explode(F.arrays_zip("at", "counts")).alias("x")).select(*keys, "n", "x.at.*", "x.counts.*")
+    facts = counts.join(_renamed(known, keys), _equal(keys)).select(*keys, "n", F.explode(F.arrays_zip("at", "counts")).alias("x")).select(*keys, "n", "x.at.*", "x.counts.*")
     hit = F.explode(F.filter("at", lambda x: (x["low"] <= v) & (v <= x["high"]))["q"])
     inside = running_totals(joined.select(*keys, hit.alias("q"), "_v").groupBy(*keys, "q", "_v").agg(F.count(F.lit(1)).alias("_c")), [*keys, "q"], ["_v"], "_c")
     inside = inside.join(_renamed(facts.select(*keys, "q", "below", "position"), [*keys, "q"]), _equal([*keys, "q"])).drop(*[f"_k{i}" for i in range(len(keys) + 1)])

@@ -10,7 +10,9 @@ SCHEMA = "g string, i long, x double, q string"
 
 def exact(spark, rows, **more):
     df = spark.createDataFrame(rows, SCHEMA)
-    return {(r["g"], r["q"]): r for r in D.certified_percentiles(df.drop("q"), ["g"], "x", "i", **more).collect()}
+    rows = D.certified_percentiles(df.drop("q"), ["g"], "x", **more).collect()
+    assert len({(r["g"], r["q"]) for r in rows}) == len(rows)
+    return {(r["g"], r["q"]): r for r in rows}
 
 
 @settings(max_examples=40, deadline=None)
@@ -51,17 +53,24 @@ def test_empty(spark):
     assert exact(spark, []) == {}
 
 
-def test_a_hot_group_is_spread_and_merged_in_a_tree(spark):
+def test_a_hot_group_lies_in_many_tasks(spark):
+    """Whatever the tasks hold of a group, it has one digest."""
     rng = np.random.default_rng(5)
     groups = {"hot": rng.lognormal(size=9000), "cold": rng.normal(size=90)}
-    rows = [(g, k, float(x), "clash") for g, values in groups.items() for k, x in enumerate(values)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    spread, width = D.spread(df, ["g"], F.col("i"), 100)
-    assert width == 90 > D.FAN and {r["g"]: r["n"] for r in spread.groupBy("g").agg(F.count_distinct("_part").alias("n")).collect()} == {"hot": 90, "cold": 1}
-    got = {(r["g"], r["q"]): r for r in D.certified_percentiles(df.drop("q"), ["g"], "x", "i", part_rows=100).collect()}
-    assert len(got) == 8
-    for (g, q), r in got.items():
-        assert np.isclose(r["exact"], np.quantile(groups[g], q), rtol=1e-12) and r["rank_error"] <= 0.02 * r["n"] + 1
+    df = spark.createDataFrame([(g, k, float(x), "clash") for g, values in groups.items() for k, x in enumerate(values)], SCHEMA)
+    for n, tasks in ((7, 7), (80, None), (1, 1)):
+        rows = D.certified_percentiles(df.repartition(n, "i").drop("q"), ["g"], "x", tasks=tasks).collect()
+        assert len(rows) == 8
+        for r in rows:
+            own = groups[r["g"]]
+            assert r["n"] == len(own) and np.isclose(r["exact"], np.quantile(own, r["q"]), rtol=1e-12) and r["rank_error"] <= 0.02 * r["n"] + 1 and r["bracket_rows"] <= 0.03 * r["n"] + 4
+
+
+def test_parts_follow_the_count(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(950)] + [("cold", i) for i in range(90)] + [(None, 1)], "g string, i long")
+    rows, width = D.spread(df, ["g"], F.col("i"), 100)
+    assert width == 10 and {r["g"]: (r["n"], r["parts"]) for r in rows.groupBy("g").agg(F.count("i").alias("n"), F.count_distinct("_part").alias("parts")).collect()} == {"hot": (950, 10), "cold": (90, 1), None: (1, 1)}
+    assert D.spread(df, ["g"], F.col("i"), 1000)[1] == 1
 
 
 def test_days_combine(spark):
