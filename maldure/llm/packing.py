@@ -13,8 +13,8 @@ however many items there are. The plan is made from that histogram alone:
 5. small items go best-fit: each into the fullest container that still has room for it.
 
 Containers with the same contents are handled together as ranges, so the plan stays small. Every item then finds its
-container by its size and its running number among the items of its size; these numbers are counted by (size, bucket),
-never by gathering all items of a size.
+container by its size and its running number among the items of its size; a frequent size has as many buckets as its
+count asks for, and numbers are counted by (size, bucket), never by gathering all items of a size.
 """
 
 from __future__ import annotations
@@ -33,22 +33,25 @@ CAPACITY = 2048
 GROUPS = 32
 #: Sizes of at most this share of the capacity are small.
 SMALL = 0.3
-#: Into so many buckets the items of one size are spread to be numbered.
-BUCKETS = 64
+#: The items of one size are numbered in buckets of about so many.
+BUCKET_ROWS = 500_000
 
 
 def optimise(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
     """Configurations of the sizes and how often each is used, so that every count is covered by the fewest containers.
 
     Column generation: the basis starts with containers of a single size; the knapsack of the dual prices finds the
-    configuration that pays most, until none does.
+    configuration that pays most, until none does. A basis that comes again (pivots without gain, in a circle) ends it too: from
+    there this rule finds nothing better.
     """
     n = len(sizes)
     size = np.array(sizes)
     order = np.argsort(size)
     basis = np.diag([float(capacity // s) for s in sizes])
     demand = np.array(counts, dtype="float64")
-    for _ in range(60 * n):
+    seen: set[frozenset] = set()
+    while (held := frozenset(map(tuple, basis.T.round().astype(int)))) not in seen:
+        seen.add(held)
         prices = np.linalg.solve(basis.T, np.ones(n))
         value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for room in range(int(size.min()), capacity + 1):
@@ -213,23 +216,31 @@ def pieces(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> D
     return rows.select(key, "piece", first.alias("first"), F.least(F.lit(capacity), F.col("_all") - first).cast("int").alias("size"))
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Assign items to containers. Columns: key, piece, first (offset of the piece in its item), size, container.
 
     sizes: a row per item with a unique key and its size (null counts as 0). Items without size all share the first
     container. Every piece is assigned once and no container holds more than ``capacity``. The histogram that is
-    gathered has at most capacity + 1 rows; the plan that is sent out, ranges of equal contents, is bounded by the
+    gathered has at most capacity + 1 rows, and a size with more than ``bucket_rows`` items one for each so many; the plan that is sent out, ranges of equal contents, is bounded by the
     capacity and the number of groups, not by the items.
     """
-    own = pieces(sizes.withColumn(size, F.coalesce(F.col(size), F.lit(0))), key, size, capacity).withColumn("_bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(BUCKETS)).cast("int"))
-    counts = own.groupBy("size", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    histogram: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for s, b, n in sorted((r["size"], r["_bucket"], r["n"]) for r in counts.collect()):  # at most (capacity + 1) x BUCKETS
-        before[(s, b)] = histogram[s]
-        histogram[s] += n
-    plan = make_plan(histogram, capacity, groups, small)
     spark = sizes.sparkSession
+    own = pieces(sizes.withColumn(size, F.coalesce(F.col(size), F.lit(0))), key, size, capacity)
+    histogram = {r["size"]: r["n"] for r in own.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1
+    wide = {s: -(-n // bucket_rows) for s, n in histogram.items() if n > bucket_rows}
+    bucket = F.lit(0)
+    if wide:
+        own = own.join(F.broadcast(spark.createDataFrame(list(wide.items()), "size int, _wide int")), "size", "left").select(key, "piece", "first", "size", "_wide")
+        bucket = F.pmod(F.xxhash64(key, "piece"), F.coalesce("_wide", F.lit(1))).cast("int")
+    own = own.withColumn("_bucket", bucket)
+    before: dict[tuple[int, int], int] = {(s, 0): 0 for s in histogram}
+    if wide:
+        at: dict[int, int] = defaultdict(int)
+        counts = own.where("_wide IS NOT NULL").groupBy("size", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+        for s, b, n in sorted((r["size"], r["_bucket"], r["n"]) for r in counts.collect()):  # one per bucket_rows items
+            before[(s, b)] = at[s]
+            at[s] += n
+    plan = make_plan(histogram, capacity, groups, small)
     places = sorted(plan.places)
     firsts: dict[int, tuple[np.ndarray, ...]] = {}
     for s in {p[0] for p in places}:

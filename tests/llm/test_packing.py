@@ -64,3 +64,16 @@ def test_pack(spark):
         assert len(own) == max(1, -(-(n or 0) // 64)) and all(x[1] == 64 * x[0] for x in own)
     assert len(held) <= 1.1 * sum(n or 0 for n in sizes) / 64
     assert P.pack(df.limit(0), "doc", "n", 64).count() == 0
+
+
+def test_a_hot_size_is_numbered_in_buckets(spark):
+    """A third of the items of one size, with small buckets: each place is taken once, none is over full."""
+    rows = [(i, 7 if i % 3 == 0 else 3 + i % 11) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc long, n int")
+    few, many = (P.pack(df, "doc", "n", 20, 4, 0.3, bucket_rows=b).collect() for b in (20, 10_000))
+    for got in (few, many):
+        held = defaultdict(int)
+        for r in got:
+            held[r["container"]] += r["size"]
+        assert len(got) == 900 and max(held.values()) <= 20 and sorted((r["doc"], r["size"]) for r in got) == rows
+    assert len({r["container"] for r in few}) == len({r["container"] for r in many})
