@@ -114,9 +114,9 @@ def edit_table(u: np.ndarray, v: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
 
 
 def edit_counts(left: Sequence[Sequence], right: Sequence[Sequence]) -> np.ndarray:
-    """edit_table of token sequences (strings count as sequences of characters), in batches of like size."""
+    """edit_table of token sequences (strings count as sequences of characters), in batches of like size; equal ones need no table."""
     out = np.zeros((len(left), 4), dtype="int32")
-    order = sorted(range(len(left)), key=lambda i: (len(left[i]), len(right[i])))
+    order = sorted((i for i in range(len(left)) if left[i] != right[i]), key=lambda i: (len(left[i]), len(right[i])))
     start = 0
     while start < len(order):
         end, wide = start, 1

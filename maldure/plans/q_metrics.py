@@ -9,7 +9,7 @@ from maldure.functions import metrics as M
 from maldure.operators import aggregate as A
 from maldure.operators.leaderboard import ranked
 from maldure.plans.registry import query, rounded
-from maldure.tables import load
+from maldure.tables import load, spread_out
 
 _BOTH = "normalized_reference IS NOT NULL AND normalized_prediction IS NOT NULL"
 
@@ -63,7 +63,7 @@ _NAMES = [f"{m}_{x}" for m in ("wer", "cer", "jer") for x in _EDITS]
 @query(f"SELECT row_id, {', '.join(f'metrics.{n} AS {n}' for n in _NAMES)} FROM sample_results WHERE {_BOTH}")
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and the counts of edit operations of all three metrics, against the stored ones."""
-    rows = load(spark, sf_dir, "sample_results").where(_BOTH)
+    rows = spread_out(load(spark, sf_dir, "sample_results").where(_BOTH).select("row_id", "normalized_reference", "normalized_prediction"))
     own = rows.select("row_id", *[M.counts(m, *_pair()).alias(m) for m in ("wer", "cer", "jer")])
     return own.select("row_id", *[F.col(f"{n[:3]}.{n[4:]}").cast("long").alias(n) for n in _NAMES])
 

@@ -39,3 +39,9 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, written: bool = False) -> D
     """``df`` marked to be sent to every worker if it has few rows, by count; else it is joined as Spark sees fit. written: ``df`` is a checkpoint."""
     held = df if written else checkpoint(df)
     return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer tasks than there are; for work that costs far more than a shuffle. ``df`` has no shuffle of its own."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

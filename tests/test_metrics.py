@@ -75,3 +75,10 @@ def test_performance_figures(spark):
 def test_evaluate_by_name(spark):
     rows = spark.createDataFrame([("a", "b")], "ref string, pred string")
     assert rows.select(*[c.alias(n) for n, c in M.evaluate(F.col("pred"), F.col("ref"), ["cer", "flops", "none"]).items()]).columns == ["cer"]
+
+
+def test_equal_texts_need_no_table():
+    from maldure.functions.metrics import edit_counts
+
+    got = edit_counts(["same", ["a"], "", "ab"], ["same", ["a"], "", "b"]).tolist()
+    assert got == [[0, 0, 0, 0]] * 3 + [[1, 0, 1, 0]]
