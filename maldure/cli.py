@@ -20,6 +20,7 @@ from maldure.functions.text import DEFAULT_PRESET, PRESETS, TELEPHONE, model_fam
 from maldure.operators import aggregate, inference, jobs, leaderboard, quality
 from maldure.operators.order import ranked
 from maldure.sources import datasets, files, sinks
+from maldure.tables import checkpoint
 
 EVERY_METRIC = ("wer", "cer", "mer", "jer", "ser", "rtf", "latency")
 
@@ -142,7 +143,7 @@ def rollup(spark: SparkSession, args: argparse.Namespace) -> int:
         print("0 models")
         return 0
     runs = files.read_board_rows(spark, args.results_dir, tolerant=True)
-    runs = aggregate.eligible_runs(runs, TELEPHONE).withColumn("run_dir", F.regexp_replace("artifact", "/leaderboard_row.json(/.*)?$", "")).checkpoint()
+    runs = checkpoint(aggregate.eligible_runs(runs, TELEPHONE).withColumn("run_dir", F.regexp_replace("artifact", "/leaderboard_row.json(/.*)?$", "")))
     samples = files.read_samples(spark, args.results_dir).join(runs.select("run_dir", "run_id"), "run_dir").drop("run_dir")
     for r in aggregate.complete_groups(runs, ["model", "model_repo"]).where("NOT complete").orderBy("model").toLocalIterator():
         print(f"{r['model']}: without {', '.join(r['missing'])}")
