@@ -210,7 +210,16 @@ def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.validate_rows(_rows(spark, sf_dir)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# as text, what is null is missing, and numbers that are not finite are no numbers
+_TEXT_RULES = {
+    **_RULES, **{f"missing.{n}": f"{n} IS NULL" for n in Q.REQUIRED},
+    **{f"metrics.macro.{m}": f"coalesce(NOT isfinite(metrics.macro.{m}), true)" for m in Q.REQUIRED_METRICS},
+    **{f"metrics.macro.{m}": f"coalesce(NOT isfinite(metrics.macro.{m}), false)" for m in Q.OPTIONAL_METRICS},
+    "outlier_policy": "outlier_policy.metric IS NULL OR outlier_policy.threshold IS NULL",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT entry_id, '{n}' AS problem FROM leaderboard_rows WHERE {c}" for n, c in _TEXT_RULES.items()))
 def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows as JSON text, validated by types and presence."""
     whole = _rows(spark, sf_dir)

@@ -46,7 +46,7 @@ def norm_punct_agnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def norm_kspon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL, which has no words for numbers inside of texts; tested against a plain Python version."""
+    """Dual transcription, noise, fillers, units, numbers as words, basic punctuation only. Its SQL is below, by its steps."""
     return _texts(spark, sf_dir, X.spontaneous)
 
 
@@ -252,3 +252,28 @@ def row_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bar_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "leaderboard_rows").where("metrics.macro.cer IS NOT NULL")
     return rows.select("entry_id", F.greatest(F.lit(3.0), F.least(F.lit(100.0), F.col("metrics.macro.cer") * 100)).alias("width"))
+
+
+def _number(x: str) -> str:
+    """SQL: the words of digits, by their places among sixteen."""
+    digits = f"ltrim(translate({x}, '０１２３４５６７８９', '0123456789'), '0')"
+    place = lambda i: f"substr(lpad({digits}, 16, '0'), {i + 1}, 1)"
+    groups = []
+    for g in range(4):
+        words = [f"CASE {place(4 * g + j)} {' '.join(f"WHEN '{d}' THEN '{X.DIGIT_WORDS[d]}{X.PLACE_WORDS[3 - j]}'" for d in range(1, 10))} ELSE '' END" for j in range(4)]
+        groups.append(f"CASE WHEN substr(lpad({digits}, 16, '0'), {4 * g + 1}, 4) = '0000' THEN '' ELSE {' || '.join(words)} || '{X.GROUP_WORDS[3 - g]}' END")
+    return f"CASE WHEN {digits} = '' THEN '{X.ZERO_WORD}' WHEN length({digits}) > 16 THEN {x} ELSE {' || '.join(groups)} END"
+
+
+def _spontaneous(c: str) -> str:
+    text = _dual(f"coalesce({c}, '')")
+    for tag in X.NOISE_TAGS:
+        text = f"replace({text}, '{tag}', '')"
+    text = f"regexp_replace({text}, '([가-힣])/', '\\1', 'g')"
+    for unit in X.UNITS:
+        text = f"regexp_replace({text}, '([0-9]+)[{_WS}]*{unit}', '\\1 {unit}', 'g')"
+    text = f"array_to_string(list_transform(regexp_extract_all({text}, '\\p{{Nd}}+|\\P{{Nd}}+'), lambda x: CASE WHEN regexp_matches(x, '^\\p{{Nd}}') THEN {_number('x')} ELSE x END), '')"
+    return _squeeze(f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}_{_WS},.?!]', '', 'g')")
+
+
+SQL["norm_kspon"] = f"SELECT row_id, {_spontaneous('reference')} AS reference, {_spontaneous('prediction')} AS prediction FROM sample_results"
