@@ -15,7 +15,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CELL = r'(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)'
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{3000}]*"
-_NAMES = (*AUDIO_NAMES, *TEXT_NAMES, "sample_rate", "duration")
+_NAMES = (*AUDIO_NAMES, *TEXT_NAMES, "id", "speaker", "sample_rate", "duration")
 
 
 def _blank(x: str) -> str:
@@ -32,9 +32,10 @@ _PATH = "coalesce(" + ", ".join(f"CASE WHEN NOT {_blank(n)} THEN {n} END" for n
 #: A record without its strings, and what that engine's reader takes in it though it is no JSON.
 _BARE = r"""regexp_replace(r, '"(?:[^"\\]|\\.)*"', '""', 'g')"""
 _LAX = r"',\s*[}\]]|NaN|nan|[Ii]nf|/'"
-_SQL = f"""
+#: SQL: every record taken apart (table judged, with the reason of those that fail).
+CLASSIFIED = f"""
 WITH raw AS (
-  SELECT line_id, header_columns AS h, n_columns AS n, coalesce(fmt = 'csv', ends_with(file_name, '.csv')) AS csv, regexp_replace(raw_line, '\\r$', '') AS r
+  SELECT line_id, file_name, default_sample_rate, header_columns AS h, n_columns AS n, coalesce(fmt = 'csv', ends_with(file_name, '.csv')) AS csv, regexp_replace(raw_line, '\\r$', '') AS r
   FROM manifest_lines LEFT JOIN manifest_files USING (file_name) WHERE raw_line IS NOT NULL
 ), taken AS (
   SELECT *, csv AND regexp_full_match(r, '{_CELL}(?:,{_CELL})*') AS well, CASE WHEN NOT csv AND json_valid(r) AND NOT regexp_matches({_BARE}, {_LAX}) THEN r::JSON END AS j,
@@ -45,11 +46,12 @@ WITH raw AS (
 ), named AS (
   SELECT *, {", ".join(f"{_value(n)} AS {n}" for n in _NAMES)} FROM broken WHERE b IS NULL
 ), judged AS (
-  SELECT line_id, CASE WHEN (NOT csv AND ({_ODD})) OR {_PATH} IS NULL OR NOT regexp_matches({_PATH}, '(?i)\\.(wav|pcm|flac)$')
+  SELECT *, CASE WHEN (NOT csv AND ({_ODD})) OR {_PATH} IS NULL OR NOT regexp_matches({_PATH}, '(?i)\\.(wav|pcm|flac)$')
     OR (NOT {_blank("sample_rate")} AND NOT regexp_full_match(sample_rate, '{_SPACE}0*[1-9][0-9]*{_SPACE}'))
     OR (NOT {_blank("duration")} AND NOT regexp_full_match(duration, '{_SPACE}[0-9]+(\\.[0-9]+)?{_SPACE}'))
     OR (NOT csv AND regexp_matches(r, '"(?:duration|sample_rate)"\\s*:\\s*-?[0-9.]+[eE]')) THEN 'invalid_value' END AS reason FROM named
-)
+)"""
+_SQL = f"""{CLASSIFIED}
 SELECT line_id, b AS reason FROM broken WHERE b IS NOT NULL UNION ALL SELECT line_id, reason FROM judged WHERE reason IS NOT NULL
 """
 
@@ -60,7 +62,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).where("reason IS NOT NULL").select("line_id", "reason")
 
 
-@query()
+_TEXT = "coalesce(" + ", ".join([*(f"CASE WHEN NOT {_blank(n)} THEN {n} END" for n in TEXT_NAMES), *TEXT_NAMES]) + ")"
+
+
+@query(f"""{CLASSIFIED}
+SELECT line_id, file_name, {_PATH} AS audio_path, {_TEXT} AS text, CASE WHEN NOT {_blank("id")} THEN id END AS id, CASE WHEN NOT {_blank("speaker")} THEN speaker END AS speaker,
+  coalesce(TRY_CAST(trim(sample_rate) AS INT), default_sample_rate) AS sample_rate, TRY_CAST(trim(duration) AS DOUBLE) AS duration FROM judged WHERE reason IS NULL
+""")
 def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that load, typed."""
     return _classified(spark, sf_dir).where("reason IS NULL").drop("reason", "raw_record")

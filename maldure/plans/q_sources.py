@@ -15,6 +15,7 @@ from maldure.operators.badrows import classify_records, csv_fields, held
 from maldure.operators.error_analysis import error_blocks
 from maldure.operators.leaderboard import ranked
 from maldure.plans import q_metrics as M
+from maldure.plans.q_badrows import CLASSIFIED
 from maldure.plans.registry import query, rounded
 from maldure.sources import audio, files, sinks
 from maldure.streaming import rollup
@@ -47,12 +48,14 @@ def scan_manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_manifest(spark, folder, "").drop("duration")
 
 
-@query()
-def manifest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of manifest_lines that loads (p2_found has the others), under its own file's column names.
+_PATH = "coalesce(nullif(audio_path, ''), nullif(audio_filepath, ''), nullif(path, ''))"
+
 
-    Without SQL, which can't take quoted records apart; tested against a plain Python version.
-    """
+@query(f"""{CLASSIFIED}
+SELECT line_id, CASE WHEN {_PATH} LIKE '/%' THEN {_PATH} ELSE '/data/' || {_PATH} END AS audio_path, coalesce(nullif(text, ''), nullif(transcript, ''), nullif(sentence, ''), '') AS text FROM judged WHERE reason IS NULL
+""")
+def manifest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of manifest_lines that loads (p2_found has the others), under its own file's column names."""
     listed = load(spark, sf_dir, "manifest_files")
     rows = classify_records(load(spark, sf_dir, "manifest_lines").select("line_id", "file_name", "raw_line"), listed).where("reason IS NULL").select("line_id", "file_name", "raw_record")
     own = listed.select("file_name", "fmt", "header_columns").dropDuplicates(["file_name"])
