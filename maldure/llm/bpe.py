@@ -10,10 +10,12 @@ end back to its start. Nothing is shuffled: each task shares the prefixes of its
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ class TrieEncoder:
         #: By the last two bytes, the lengths of the tokens that end so, the longest first.
         self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in lengths.items()}
         self.fit: dict[tuple[int, int], bool] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}  # of each word, as 32-bit integers
         self.split = regex.compile(PATTERN)
 
     def merged(self, text: bytes) -> list[int]:
@@ -85,11 +87,11 @@ class TrieEncoder:
             while at:
                 ids.append(last[at])
                 at -= size[at]
-            self.ids[word] = tuple(reversed(ids))
+            self.ids[word] = array("i", reversed(ids)).tobytes()
             before = path
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; none for empty and null ones."""
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers, one after another; none for empty and null ones. Words are joined, not ids."""
         split = [self.split.findall(t) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.ids)
         if len(self.ids) + len(new) > REMEMBERED:
@@ -97,11 +99,15 @@ class TrieEncoder:
             new = set(chain.from_iterable(split))
         self.walk(list(new))
         ids = self.ids
-        out = [list(chain.from_iterable([ids[w] for w in words])) for words in split]
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
         for word in [w for w in new if len(w) > LONG_WORD]:
             del ids[word]
         return out
 
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; none for empty and null ones."""
+        return [array("i", x).tolist() for x in self.encoded(texts)]
+
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: bytes) -> TrieEncoder:
@@ -133,8 +139,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                ids = own.encode_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, type=pa.list_(pa.int32()))], names=[key, "ids"])
+                ids = own.encoded(part.column(1).to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="int32")))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -149,7 +157,7 @@ def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                n = [len(x) for x in own.encode_batch(part.column(1).to_pylist())]
+                n = [len(x) // 4 for x in own.encoded(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, type=pa.int32())], names=[key, "tokens"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens int")
