@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; an error where it is unset, except on a single machine."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, an error on a cluster, and a folder of its own in local mode (tests)."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -24,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/maldure-checkpoints"
+        folder = os.path.join(tempfile.gettempdir(), "maldure-checkpoints")
     context.setCheckpointDir(folder)
     return folder
 
