@@ -1,5 +1,8 @@
 import unicodedata
 
+import pytest
+from py4j.protocol import Py4JError
+
 from maldure.llm import lookalikes as L
 
 SCHEMA = "id long, a string, b string, changed string"
@@ -54,6 +57,30 @@ def test_letters_of_all_scripts(spark):
     assert [got[i] for i in range(3, 8)] == ["VIP", "good", "App", "good", "app"] and [got[i] for i in range(8, 14)] == texts[8:]
 
 
+def test_failure_is_no_result(spark, monkeypatch):
+    """Without ICU's table, or with a failing one, there is an error, not a result with fewer letters."""
+    from types import SimpleNamespace
+
+    def jvm(builder):
+        return SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=builder))))))
+
+    def fails(error):
+        def builder():
+            raise error
+
+        return builder
+
+    short = SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=lambda text: "a"))
+    cases = [(spark._jvm.com.ibm.icu.text.NoSuchChecker.Builder, RuntimeError), (fails(Py4JError("gone")), Py4JError), (lambda: short, RuntimeError)]
+    rows = spark.createDataFrame([(0, "VІᏢ", None, "")], SCHEMA)
+    for builder, error in cases:
+        monkeypatch.setattr(rows.sparkSession, "_jvm", jvm(builder))
+        for job in (lambda: L.confusable_letters(rows.sparkSession), lambda: L.find_lookalikes(rows, "id", ["a", "b"]), lambda: L.rewrite_lookalikes(rows, "id", ["a", "b"])):
+            with pytest.raises(error):
+                job()
+        monkeypatch.undo()
+
+
 def test_frequency_decides_between_spellings(spark):
     """The same words, with one spelling or the other in the majority."""
     for latin, cyrillic, wanted in ((5, 2, "COPE"), (2, 5, "СОРЕ")):
